@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe_reuse, jaccard_join, mixing, quality_rules, url_filter
+from cairn.llm import bpe_reuse, jaccard_join, mixing, quality_rules, substring_dedup, url_filter
 from cairn.llm.common import table
 
 LLM_QUERIES = {
     "op2_url_reputation": lambda spark, sf: url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")),
     "op3_jaccard_join": lambda spark, sf: jaccard_join.jaccard_pairs(table(spark, sf, "documents")),
+    "op4_repeated_spans": lambda spark, sf: substring_dedup.repeated_spans(table(spark, sf, "documents")),
     "op6_mix_sources": lambda spark, sf: mixing.mix_documents(table(spark, sf, "documents")),
     "op10_bpe_reuse": lambda spark, sf: bpe_reuse.encode_documents(table(spark, sf, "documents")),
     "op8_host_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
 }
-LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_mix_sources": mixing.SQL, "op8_host_rules": quality_rules.SQL}
+LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_repeated_spans": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op8_host_rules": quality_rules.SQL}
