@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe_reuse, jaccard_join, mixing, quality_rules, substring_dedup, url_filter
+from cairn.llm import bpe_reuse, jaccard_join, mixing, quality_rules, substring_dedup, toxicity, url_filter
 from cairn.llm.common import table
 
 LLM_QUERIES = {
@@ -11,6 +11,7 @@ LLM_QUERIES = {
     "op4_repeated_spans": lambda spark, sf: substring_dedup.repeated_spans(table(spark, sf, "documents")),
     "op6_mix_sources": lambda spark, sf: mixing.mix_documents(table(spark, sf, "documents")),
     "op10_bpe_reuse": lambda spark, sf: bpe_reuse.encode_documents(table(spark, sf, "documents")),
+    "op7_toxicity": lambda spark, sf: toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_host_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
 }
-LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_repeated_spans": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op8_host_rules": quality_rules.SQL}
+LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_repeated_spans": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_toxicity": toxicity.SQL, "op8_host_rules": quality_rules.SQL}
