@@ -112,13 +112,12 @@ def line_chunks(text: Column, size: int = 30, overlap: int = 8) -> Column:
     A run that does not reach the end is cut before the last line in its last 10 (or just after it) that starts with ``#``; the next
     run's start does not move with the cut. ``\\r\\n`` is one line end. Nothing for texts of at most ``size`` lines.
     """
-    lines = F.split(text, r"\r\n|[\n\u000B\u000C\r\u0085  ]")
+    lines = F.split(text, r"\r\n|[\n\u000B\u000C\r\u0085\u2028\u2029]")
     n, step = F.size(lines), max(size - overlap, 1)
 
     def run(start: Column) -> Column:
         end = F.least(start + F.lit(size), n)
-        low = F.greatest(end_low := start + F.lit(size - 10), start)
-        del end_low
+        low = F.greatest(start + F.lit(size - 10), start)
         marks = F.filter(F.sequence(low, F.greatest(end, low)), lambda i: (i < n) & F.get(lines, i).startswith("#"))
         cut = F.when((end < n) & (F.size(marks) > 0), F.array_max(marks)).otherwise(end)
         body = F.array_join(F.slice(lines, start + 1, F.greatest(cut - start, F.lit(0))), "\n")

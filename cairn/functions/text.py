@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space and line ends, for Java's regular expressions.
-BLANK = r"[\s\u0085   -     　]"
+BLANK = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 RESERVED = ("init", "deinit", "update-index", "search", "insert", "remove", "list", "info", "chunk", "reset", "help", "version")
 
 
