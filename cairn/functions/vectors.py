@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _doubles(v: Column) -> Column:
@@ -37,13 +38,13 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(_doubles(v), lambda x: x / n)).otherwise(_doubles(v))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack(v):
     """Raw little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack(b):
     return b.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4"))
 
