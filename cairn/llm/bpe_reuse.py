@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import narrowed
 from cairn.llm.text import mix, pieces, powers, ranges_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -212,7 +213,7 @@ def _encode(path: str):
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, n_tokens, tokens, round_trip`` for every row of ``docs``."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    given = narrowed(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     routed = given.mapInArrow(_route, "doc_id long, text string, source string, route long")
     # rebalancing by the key keeps sharers together and still cuts a partition that a hot key makes too large
     return routed.hint("rebalance", F.col("route")).select("doc_id", "text", "source").mapInArrow(_encode(path), "doc_id long, source string, n_tokens int, tokens array<int>, round_trip boolean")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import narrowed
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LEARNED = ("assistant",)
 CLOSE = "<|end|>"
@@ -61,7 +63,7 @@ def turn_of(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def format_chats(conversations: DataFrame, path: str = TOKENIZER, learned: tuple[str, ...] = LEARNED) -> DataFrame:
     """``conv_id, n_turns, n_tokens, n_learned, text, tokens, mask, turns`` for every conversation."""
-    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"))
+    c = narrowed(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"))
     grouped = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

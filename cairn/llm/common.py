@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,27 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if 4 * size_in_bytes(df) <= limit else df
 
 
-def with_columns_of(docs: DataFrame, **own: str) -> DataFrame:
-    """``docs`` under private names, so that extra columns cannot clash: ``own`` maps new names to old."""
-    return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in own.items()))
+#: The columns of ``documents``; whatever else a table holds is carried under a private name.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def narrowed(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, found by place, so that others that differ by case or repeat do not clash."""
+    columns = df.columns
+    places = [columns.index(n) for n in names]
+    return df.toDF(*(f"__c{i}" for i in range(len(columns)))).select(*(F.col(f"__c{i}").alias(n) for i, n in zip(places, names, strict=True)))
+
+
+def guarded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that sees its own columns under their names and all others under private ones, and gives all of them back as they were."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        columns, seen = docs.columns, set()
+        private = []
+        for i, c in enumerate(columns):
+            private.append(c if c in DOCUMENT and c not in seen else f"__extra{i}")
+            seen.add(c)
+        return stage(docs.toDF(*private), *args, **kwargs).select(*private).toDF(*columns)
+
+    return run

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import guarded, narrowed, small, written
 from cairn.llm.graph import components
 from cairn.llm.text import WORD_PATTERN, Words, mix, pack, pieces, ranges_hash, unpack
 
@@ -166,7 +166,7 @@ def _assemble(threshold: float):
 def sets_with_partners(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """A written table with a row for each distinct set that may have a partner: ``fp, size, shared, docs``."""
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    given = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     blobs = given.mapInArrow(_emit(n, buckets), "bucket long, src long, payload binary")
     counted = blobs.groupBy("bucket").applyInArrow(_count(buckets), "src long, meta boolean, payload binary")
     found = counted.groupBy("src").applyInArrow(_assemble(threshold), "doc_id long, text_key long, fp long, size int, shared binary")
@@ -348,6 +348,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+@guarded
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The pipeline's stage: of each group of documents linked by similar pairs the one of the least id stays (ids before null)."""
     sets = sets_with_partners(docs, n, threshold)

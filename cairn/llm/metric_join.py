@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import narrowed, written
 
 COSINE = 0.95
 #: Pivots for so many vectors each, at least 1 and at most ``MOST_PIVOTS``; residents of a cell's part.
@@ -36,7 +36,7 @@ _SLACK = 1e-6
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """A written table ``id, v`` of the usable vectors at length 1, in double."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    v = narrowed(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     dim = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

@@ -10,8 +10,7 @@ A document is then taken ``floor(epochs)`` times, and once more when a seeded ha
 below the fraction.
 
 Defined results: the size of a document is the length of its text, 0 for null; a null source is the
-source ``(none)``; a source without a character has no epochs and is taken once for each whole epoch of
-the cap's minimum, that is not at all, unless the whole table is empty of text; weights that are null or not
+source ``(none)``; a source without a character is not taken; weights that are null or not
 above zero count as zero; if the budget exceeds all capacity every source gets ``max_epochs``. Repeated
 rows draw the same hash, so they are taken or left together; null ids draw by text alone. Extra columns pass.
 """
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import guarded, narrowed, small, written
 
 MAX_EPOCHS = 2.0
 SEED = "cairn-mix-1"
@@ -43,7 +42,7 @@ def epochs(sizes: DataFrame, budget_ratio: float = 1.0, max_epochs: float = MAX_
     # the level that holds if exactly the sources before this one are saturated
     s = s.withColumn("water", (F.col("budget") - F.col("full")) / (F.col("all_w") - F.col("used")))
     fits = s.where((F.col("w") > 0) & (F.col("water") <= F.col("level"))).agg(F.max("water").alias("found"))
-    got = F.coalesce(F.least(F.col("cap"), F.col("w") * F.col("found")), F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0.0)))
+    got = F.when(F.col("w") > 0, F.coalesce(F.least(F.col("cap"), F.col("w") * F.col("found")), F.col("cap"))).otherwise(F.lit(0.0))
     return s.crossJoin(F.broadcast(fits)).select("src", "size", "weight", (got / F.col("size")).alias("epochs"))
 
 
@@ -68,9 +67,10 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, budget_ratio: float
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The query's result: a row for each draw."""
-    return mixed(docs.select("doc_id", "text", "source")).select("doc_id", "source", F.round("__epochs", 6).alias("epochs"), F.col("__copy").alias("copy"))
+    return mixed(narrowed(docs, "doc_id", "text", "source")).select("doc_id", "source", F.round("__epochs", 6).alias("epochs"), F.col("__copy").alias("copy"))
 
 
+@guarded
 def mix_stage(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the drawn rows with their own columns."""
     return mixed(docs).select(*(f"`{c}`" for c in docs.columns))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import guarded, narrowed, small, written
 
 SYMBOLS = "#$%&*|!{}<>~^\\"
 #: rule -> (soft limit, hard limit, host rate above which the verdict is bad)
@@ -89,7 +89,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source") -> DataFra
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """The query's result: a row for each document."""
-    df = judged(docs.select("doc_id", "text", "source"))
+    df = judged(narrowed(docs, "doc_id", "text", "source"))
     names = F.concat_ws(",", *(F.when(F.col(f"__soft_{r}") == 1, F.lit(r)) for r in RULES))
     return df.select(
         "doc_id", F.col("__host").alias("host"), names.alias("failed_rules"),
@@ -97,6 +97,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     )
 
 
+@guarded
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the rows of ``docs`` that are kept, with their own columns."""
     return judged(docs).where("__keep").select(*(f"`{c}`" for c in docs.columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import guarded, narrowed, small, written
 from cairn.llm.text import WORD_PATTERN, Words, mix, pieces, ranges_hash
 
 #: Words of an edge: the shortest passage found.
@@ -191,11 +191,13 @@ def _merged(occurrences: DataFrame, k: int, only_later: bool) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """The query's result: ``doc_id, span_start, span_end`` (characters), ``first_word, n_words, copies`` for each longest repeated span."""
+    docs = narrowed(docs, "doc_id", "text")
     found = written(_merged(text_spans(docs, k), k, only_later=False), "spans")
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     return mine.join(small(found), "text_key").select("doc_id", F.col("begin").alias("span_start"), F.col("finish").alias("span_end"), F.col("word").alias("first_word"), F.col("words").alias("n_words"), "copies")
 
 
+@guarded
 def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """The pipeline's stage: every row stays; passages that have an earlier place are cut from its text, and ``n_chars`` follows.
 

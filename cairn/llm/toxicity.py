@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import narrowed
 from cairn.llm.text import WORD_PATTERN, Words, pieces, ranges_hash
 
 #: The documented bound on the sample of labelled rows.
@@ -202,6 +203,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``doc_id, vote, toxicity, toxic, evidence`` for every document."""
+    docs, labels = narrowed(docs, "doc_id", "text"), narrowed(labels, "doc_id", "toxic")
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

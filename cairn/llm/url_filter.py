@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, written
+from cairn.llm.common import narrowed, small, written
 
 Z, LIMIT = 1.645, 0.25
 LEAST, MOST = 2.0, 1000.0
@@ -75,7 +75,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's result: every page with its host's posterior and whether it is kept."""
-    pages = pages.select("page_id", "url")
+    pages, labels = narrowed(pages, "page_id", "url"), narrowed(labels, "doc_id", "quality", "toxic")
     rep = written(host_reputation(pages, labels), "reputation")
     df = pages.withColumn("host", host_of(F.col("url"))).join(small(rep), "host", "left")
     return df.select("page_id", "host", "domain", "suffix", F.col("n").alias("labelled"), F.col("bad").alias("bad_outcomes"), F.round("mean", 6).alias("bad_rate"), F.round("lower", 6).alias("bad_rate_lower"), ((F.col("host") == "") | (F.col("lower") <= LIMIT)).alias("keep"))
