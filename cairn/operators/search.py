@@ -15,11 +15,12 @@ from cairn.functions.vectors import batch_distances
 from cairn.schema import DimensionMismatch
 
 
-def distances(chunks: DataFrame, queries: dict[int, list[float]], k: int | None = None, id_column: str = "id", embedding: str = "embedding") -> DataFrame:
+def distances(chunks: DataFrame, queries: dict[int, list[float]], k: int | None = None, id_column: str = "id", embedding: str = "embedding", decimals: int | None = None) -> DataFrame:
     """``chunks`` without its vectors, for each query, with ``query_id`` and ``distance``; rows without a vector are left out.
 
     With ``k`` each task keeps only its ``k`` nearest per query (ties by id), which hold the global ones: what follows sorts
-    tasks times ``k`` rows, however large the table is. Queries of a length differ from the rows' ones are at distance 1.
+    tasks times ``k`` rows, however large the table is. Queries of a length differ from the rows' ones are at distance 1. With ``decimals``
+    distances are rounded before they are ranked, so that near ties go by id.
     """
     ids = list(queries)
     dims = {len(q) for q in queries.values()}
@@ -35,6 +36,7 @@ def distances(chunks: DataFrame, queries: dict[int, list[float]], k: int | None
         held: dict[int, pa.Table] = {}
         for batch in batches:
             at, d = batch_distances(batch.column(len(names)), q)
+            d = d if decimals is None else np.round(d, decimals)
             rows = pa.Table.from_arrays(batch.columns[: len(names)], names).take(pa.array(at))
             for j, i in enumerate(ids):
                 own = rows.append_column("distance", pa.array(d[:, j])).add_column(0, "query_id", pa.array(np.full(len(at), i)))
@@ -52,10 +54,10 @@ def distances(chunks: DataFrame, queries: dict[int, list[float]], k: int | None
     return chunks.select(*names, embedding).mapInArrow(run, schema)
 
 
-def top_k(chunks: DataFrame, queries: dict[int, list[float]], k: int, id_column: str = "id", embedding: str = "embedding") -> DataFrame:
+def top_k(chunks: DataFrame, queries: dict[int, list[float]], k: int, id_column: str = "id", embedding: str = "embedding", decimals: int | None = None) -> DataFrame:
     """The ``k`` nearest of each query with ``rank``; ties by id."""
     w = Window.partitionBy("query_id").orderBy("distance", id_column)
-    return distances(chunks, queries, k, id_column, embedding).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return distances(chunks, queries, k, id_column, embedding, decimals).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def coalesced(hits: DataFrame, limit: int | None, group: str = "file_path", id_column: str = "id", match: list[str] | None = None) -> DataFrame:

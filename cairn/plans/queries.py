@@ -234,10 +234,7 @@ SELECT query_id, doc_id, round(d, 6) AS distance FROM (SELECT *, row_number() OV
 def hash_search_documents(spark: SparkSession, sf: str) -> DataFrame:
     v = hashed(_table(spark, sf, "documents"), "doc_id", "text")
     q = {r.doc_id: r.embedding for r in v.where("doc_id < 5").collect() if r.embedding}
-    # near ties are told apart at 9 decimals, as in SQL, so all distances are ranked
-    d = se.distances(v, q, None, "doc_id").withColumn("d", F.round("distance", 9))
-    w = Window.partitionBy("query_id").orderBy("d", "doc_id")
-    return d.withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "doc_id", F.round("d", 6).alias("distance"))
+    return se.top_k(v, q, 10, "doc_id", decimals=9).select("query_id", "doc_id", F.round("distance", 6).alias("distance"))
 
 
 @query(r"""SELECT page_id, regexp_replace(url, '^.*/', '') AS name, lower(regexp_extract(regexp_replace(url, '^.*/', ''), '^[^.].*\.([^.]+)$', 1)) AS extension, starts_with(url, 'https://blog.') AS inside FROM pages""")

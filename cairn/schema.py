@@ -120,6 +120,7 @@ class StoreConfig:
     source_directory: str
     created_at: str
     profile: ProfileRecord | None = None
+    buckets: int = 64
 
 
 @dataclass

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +27,12 @@ from cairn.sources.files import IMAGE_EXTENSIONS, page_chunks, texts
 from cairn.sources.paths import Files
 from cairn.sources.shared import scratch
 
+#: A store's buckets unless it is made with another number: choose it so that a bucket stays at a few hundred MB.
 BUCKETS = 64
 LOG_KEPT = 200
 _TABLES = {"chunks": CHUNKS, "indexed_files": INDEXED_FILES}
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS))
-
-
 class VectorStore:
     def __init__(self, spark: SparkSession, home: str, name: str):
         self.spark, self.home, self.name, self.path, self.files = spark, home, name, f"{home}/{name}", Files(spark)
@@ -43,7 +40,7 @@ class VectorStore:
     # lifecycle
 
     @staticmethod
-    def create(spark: SparkSession, home: str, name: str, source_directory: str, force: bool = False) -> VectorStore:
+    def create(spark: SparkSession, home: str, name: str, source_directory: str, force: bool = False, buckets: int = BUCKETS) -> VectorStore:
         if not valid_name(name):
             raise BadName(name)
         store = VectorStore(spark, home, name)
@@ -51,7 +48,7 @@ class VectorStore:
             if not force:
                 raise AlreadyExists(name)
             store.drop()
-        store._save_config(StoreConfig(source_directory, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")))
+        store._save_config(StoreConfig(source_directory, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), buckets=buckets))
         store._point({t: {} for t in _TABLES})
         return store
 
@@ -89,16 +86,16 @@ class VectorStore:
 
     def reset(self) -> VectorStore:
         """Empty, with the same folder, without profile and log."""
-        source = self.config().source_directory
-        return VectorStore.create(self.spark, self.home, self.name, source, force=True)
+        c = self.config()
+        return VectorStore.create(self.spark, self.home, self.name, c.source_directory, force=True, buckets=c.buckets)
 
     def config(self) -> StoreConfig:
         d = json.loads(self.files.read(f"{self.path}/config.json"))
         p = d.get("profile")
-        return StoreConfig(d["sourceDirectory"], d["createdAt"], ProfileRecord(p["identity"], p["embedderName"], p["dimension"]) if p else None)
+        return StoreConfig(d["sourceDirectory"], d["createdAt"], ProfileRecord(p["identity"], p["embedderName"], p["dimension"]) if p else None, d.get("buckets", BUCKETS))
 
     def _save_config(self, c: StoreConfig) -> None:
-        d: dict = {"sourceDirectory": c.source_directory, "createdAt": c.created_at}
+        d: dict = {"sourceDirectory": c.source_directory, "createdAt": c.created_at, "buckets": c.buckets}
         if c.profile:
             d["profile"] = {"identity": c.profile.identity, "embedderName": c.profile.embedder, "dimension": c.profile.dimension}
         self.files.write(f"{self.path}/config.json", json.dumps(d, indent=2, sort_keys=True))
@@ -137,16 +134,17 @@ class VectorStore:
     def _commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame]]) -> None:
         """Per table: new rows, or none, in place of all rows of some paths. All tables change by one swap of the pointer."""
         manifest = self._manifest()
+        bucket = F.pmod(F.xxhash64("file_path"), F.lit(self.config().buckets))
         version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name, (new, paths) in changes.items():
-            touched = [r.b for r in paths.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS rows
+            touched = [r.b for r in paths.select(bucket.alias("b")).distinct().collect()]  # at most a row a bucket
             if not touched:
                 continue
             rows = self.table(name, touched).join(paths.select("file_path"), "file_path", "left_anti")
             if new is not None:
                 rows = rows.select(*_TABLES[name].names).unionByName(new.select(*_TABLES[name].names))
             # a folder a bucket; files in the order of their path, so that a lookup reads little
-            out = rows.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "file_path", *(["ordinal"] if name == "chunks" else []))
+            out = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "file_path", *(["ordinal"] if name == "chunks" else []))
             out.write.partitionBy("bucket").parquet(f"{self.path}/{version}/{name}")
             made = {f.removeprefix("bucket=") for f in self.files.folders(f"{self.path}/{version}/{name}")}
             for b in map(str, touched):
