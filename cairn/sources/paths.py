@@ -25,12 +25,12 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
+    def write(self, path: str, text: str | bytes) -> None:
         """By way of another name: a reader sees the old or the new file."""
         p, fs = self._path(path)
         part, _ = self._path(path + ".part")
         out = fs.create(part, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text if isinstance(text, bytes) else text.encode()))
         out.close()
         if fs.exists(p):
             fs.delete(p, False)

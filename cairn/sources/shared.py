@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from cairn.sources.paths import Files
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where all runs on this machine."""
@@ -18,3 +23,22 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once an application: they may run where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = scratch(spark, "package") + "/cairn.zip"
+    Files(spark).write(path, packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
