@@ -19,6 +19,9 @@ def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     return at * 8 + _BYTE_SELECT[parts[rows, at], k - before]
 
 
+_BLOCK = 1 << 20
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed side by side, high bits in unary."""
 
@@ -33,19 +36,20 @@ class EliasFano:
     @staticmethod
     def encode(values: np.ndarray) -> dict[str, np.ndarray]:
         """The arrays of a sequence: ``head`` (length, low bits), ``low``, ``high`` and ``ones`` (ones before each word)."""
-        v = values.astype(np.uint64)
+        v = values.view(np.uint64) if values.dtype == np.int64 else values.astype(np.uint64)
         n, top = len(v), int(v[-1]) + 1 if len(v) else 1
         l = max(0, (top // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * l + 7) // 8 + 8, np.uint8)
-        if l:
-            bits = np.zeros((n, l), np.uint8)
-            for j in range(l):
-                bits[:, j] = (v >> np.uint64(j)).astype(np.uint8) & 1
-            packed = np.packbits(bits.ravel(), bitorder="little")
-            low[: len(packed)] = packed
-        place = (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        raw = np.zeros((int(place[-1] if n else 0) // 64 + 2) * 64, np.uint8)
-        raw[place] = 1
+        raw = np.zeros(((int(v[-1] >> np.uint64(l)) + n if n else 0) // 64 + 1) * 64, np.uint8)
+        for i in range(0, n, _BLOCK):  # whole bytes of low bits at a time
+            part = v[i : i + _BLOCK]
+            raw[(part >> np.uint64(l)).astype(np.int64) + np.arange(i, i + len(part))] = 1
+            if l:
+                bits = np.empty((len(part), l), np.uint8)
+                for j in range(l):
+                    bits[:, j] = (part >> np.uint64(j)).astype(np.uint8) & 1
+                packed = np.packbits(bits.ravel(), bitorder="little")
+                low[i * l // 8 : i * l // 8 + len(packed)] = packed
         high = np.packbits(raw, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return {"head": np.array([n, l], np.int64), "low": low, "high": high, "ones": ones}

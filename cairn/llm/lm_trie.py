@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import shared_dir, written
+from cairn.llm.common import narrowed, shared_dir, written
 from cairn.llm.elias_fano import EliasFano
 from cairn.llm.text import Words, pack, pieces, unpack
 
@@ -199,45 +199,69 @@ def _shard(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64())} | {k.split()[0]: pa.array([pack(x.astype(np.uint64))], pa.binary()) for k, x in zip(_SHARD.split(", ")[1:], out, strict=True)})
 
 
+def _count_successors(path: str):
+    """One task: how many different words follow each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = np.zeros(len(_load(path, "counts")), np.int64)
+        for batch in batches:
+            for seen, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                np.add.at(types, unpack(seen).astype(np.int64), unpack(n).astype(np.int64))
+        _save(path, "types", types)
+        yield pa.RecordBatch.from_arrays([pa.array([len(types)], pa.int64())], ["n"])
+
+    return run
+
+
 def _assemble(path: str):
-    """One task: the levels from the ranges in order, written as memory-mapped files."""
+    """One task: the levels from the ranges in order, written as memory-mapped files. It holds 14 bytes a bigram and 5 a trigram, and one sequence at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(9)]
+        count, types = _load(path, "counts"), _load(path, "types")
+        size = len(count)
+        kept: dict[str, list[np.ndarray]] = {k: [] for k in ("first", "second", "thirds", "third", "a2", "b2", "a3")}
+        given = np.zeros(size)
         for batch in batches:
             for r in range(batch.num_rows):
-                for i, p in enumerate(parts):
-                    p.append(unpack(batch.column(i + 1)[r].as_py()).astype(np.int64))
-        seen, types, first, second, n, kinds, thirds, third, third_n = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
-        count = _load(path, "counts")
-        size = len(count)
-        # level 1
-        t1 = np.bincount(seen, types, size)
+                first, second, n, kinds, thirds, third, third_n = (unpack(batch.column(i)[r].as_py()).astype(np.int64) for i in range(1, 8))
+                # the end mark has no successors, so a word's count is that of its occurrences as context
+                a2 = n / np.maximum(count[first] + types[first], 1)
+                np.add.at(given, first, a2)
+                of = np.repeat(np.arange(len(first)), thirds)
+                a3 = third_n / (n[of] + kinds[of])
+                b2 = 1 - np.bincount(of, a3, len(first))
+                for k, v in (("first", first.astype(np.int32)), ("second", second.astype(np.int32)), ("thirds", thirds.astype(np.int32)), ("third", third.astype(np.int32)), ("a2", quantised(a2)), ("b2", quantised(b2)), ("a3", quantised(a3))):
+                    kept[k].append(v)
+        for k in ("a2", "b2", "a3"):
+            _save(path, k, np.concatenate([*kept.pop(k), np.empty(0, np.uint8)]))
+        first, second, thirds, third = (np.concatenate([*kept.pop(k), np.empty(0, np.int32)]) for k in ("first", "second", "thirds", "third"))
         known = int(np.count_nonzero(count))
         floor = known / ((count.sum() + known) * max(size - 1, 1)) if known else 0
         one = count / max(count.sum() + known, 1) + floor
         one[NONE] = 0
         _save(path, "one", np.log(np.maximum(one, 1e-300)).astype(np.float32))
-        # level 2: the end mark has no successors, so a word's count is that of its occurrences as context
-        a2 = n / np.maximum(count[first] + t1[first], 1)
-        b1 = np.where(count > 0, 1 - np.bincount(first, a2, size), 1.0)
-        _save(path, "a2", quantised(a2))
-        _save(path, "b1", quantised(b1))
-        ptr1 = np.searchsorted(first, np.arange(size + 1))
-        # level 3
-        of = np.repeat(np.arange(len(first)), thirds)
-        a3 = third_n / (n[of] + kinds[of]) if len(of) else np.empty(0)
-        b2 = 1 - np.bincount(of, a3, len(first))
-        _save(path, "a3", quantised(a3))
-        _save(path, "b2", quantised(b2))
-        ptr2 = np.concatenate([[0], np.cumsum(thirds)])
-        # context-relative: the rank of the third word among the successors of the second
-        both = (first << 32) | second
-        rank = np.searchsorted(both, (second[of] << 32) | third) - ptr1[second[of]]
-        for name, value in (("ptr1", ptr1), ("seq2", _lifted(second, ptr1)), ("ptr2", ptr2), ("seq3", _lifted(rank, ptr2))):
+        _save(path, "b1", quantised(np.where(count > 0, 1 - given, 1.0)))
+
+        def save(name: str, value: np.ndarray) -> None:
             for k, v in EliasFano.encode(value).items():
                 _save(path, f"{name}-{k}", v)
-        yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64())], ["n"])
+
+        ptr1 = np.searchsorted(first, np.arange(size + 1))
+        ptr2 = np.concatenate([[0], np.cumsum(thirds, dtype=np.int64)])
+        save("ptr1", ptr1)
+        save("ptr2", ptr2)
+        save("seq2", _lifted(second, ptr1))
+        # context-relative: the rank of the third word among the successors of the second
+        both = (first.astype(np.int64) << 32) | second
+        del first
+        rank = np.empty(len(third), np.int32)
+        middle = np.repeat(second, thirds)
+        for i in range(0, len(third), 1 << 20):
+            m, t = middle[i : i + (1 << 20)].astype(np.int64), third[i : i + (1 << 20)]
+            rank[i : i + len(m)] = np.searchsorted(both, (m << 32) | t) - ptr1[m]
+        del both, middle, second, third
+        save("seq3", _lifted(rank, ptr2))
+        yield pa.RecordBatch.from_arrays([pa.array([len(thirds)], pa.int64())], ["n"])
 
     return run
 
@@ -245,11 +269,13 @@ def _assemble(path: str):
 def _lifted(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Values that grow within each range ``ptr[i]:ptr[i+1]`` made to grow throughout: plus one, plus the last of the range before."""
     if not len(values):
-        return values
+        return values.astype(np.int64)
     ends = np.unique(ptr[ptr > 0]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    base = np.concatenate([[0], np.cumsum(values[ends] + 1)[:-1]])
-    return values + 1 + np.repeat(base, np.diff(np.append(begins, len(values))))
+    base = np.concatenate([[0], np.cumsum(values[ends] + 1, dtype=np.int64)[:-1]]) + 1
+    out = np.repeat(base, np.diff(np.append(begins, len(values))))
+    out += values
+    return out
 
 
 class Trie:
@@ -314,12 +340,14 @@ class Trie:
 def build(docs: DataFrame) -> str:
     """Counts all of ``docs`` and writes the trie; its folder."""
     spark = docs.sparkSession
-    path, texts = _folder(spark), docs.select("text")
+    path, texts = _folder(spark), narrowed(docs, "text")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = written(texts.mapInArrow(_word_counts, "word long, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where("n > 0 or ends > 0"), "words")
     words.coalesce(1).mapInArrow(_write_vocabulary(path), "n long").collect()
     shards = texts.mapInArrow(_emit(path, buckets), "bucket long, pair binary, third binary, n binary").groupBy("bucket").applyInArrow(_shard, _SHARD)
-    written(shards, "shards").coalesce(1).sortWithinPartitions("bucket").mapInArrow(_assemble(path), "n long").collect()
+    shards = written(shards, "shards")
+    shards.select("seen", "types").coalesce(1).mapInArrow(_count_successors(path), "n long").collect()
+    shards.drop("seen", "types").coalesce(1).sortWithinPartitions("bucket").mapInArrow(_assemble(path), "n long").collect()
     return path
 
 
@@ -334,9 +362,9 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                 total = np.bincount(doc, trie.log_probabilities(seq, doc), len(ids))
                 unknown = np.bincount(doc, seq == UNKNOWN, len(ids)).astype(np.int64)
                 per = np.exp(-total / np.maximum(n + 1, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6)), pa.array(np.round(per, 6), mask=n == 0), pa.array(unknown)], ["doc_id", "n_tokens", "log_probability", "perplexity", "unknown"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6), pa.float64()), pa.array(np.round(per, 6), pa.float64(), mask=n == 0), pa.array(unknown)], ["doc_id", "n_tokens", "log_probability", "perplexity", "unknown"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double, perplexity double, unknown long")
+    return narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double, perplexity double, unknown long")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return ranges_hash(hashes, at, at + n)
 
 
-def pieces(columns: Iterable[list], texts: int, limit: int = 4 << 20) -> Iterator[tuple[list, ...]]:
+def pieces(columns: Iterable[list], texts: int, limit: int = 2 << 20) -> Iterator[tuple[list, ...]]:
     """The rows of some columns in runs of at most ``limit`` characters of the ``texts``-th column, or one row."""
     columns = list(columns)
     start = size = 0
