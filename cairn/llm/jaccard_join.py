@@ -44,7 +44,7 @@ N, THRESHOLD = 4, 0.4
 HOT = 64
 BLOCK = 4096
 #: A map task's blobs are sent when so many shingles or documents have come together.
-FLUSH_SHINGLES, FLUSH_DOCS = 4 << 20, 60_000
+FLUSH_SHINGLES, FLUSH_DOCS = 2 << 20, 60_000
 _BITS, _LOW = np.uint64(16), np.uint64(0xFFFF)
 
 
