@@ -30,6 +30,8 @@ from cairn.llm.common import narrowed, written
 COSINE = 0.95
 #: Pivots for so many vectors each, at least 1 and at most ``MOST_PIVOTS``; residents of a cell's part.
 PER_PIVOT, MOST_PIVOTS, PART = 64.0, 1024, 4096
+#: Vectors of a cell that one part of its residents meets at a time, so that a task's memory does not grow with the cell.
+MEMBERS = 16384
 SEED = "cairn-pivot-1"
 _SLACK = 1e-6
 
@@ -79,40 +81,68 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         radius[c.cell], parts[c.cell] = c.radius, -(-c.n // PART)
     bounds = spark.sparkContext.broadcast((radius, parts))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reached(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, cell and own cell of every stay of a batch's vectors."""
         pivots, between = shared.value
-        radius, parts = bounds.value
+        radius, _ = bounds.value
+        d = _distances(_matrix(batch.column(1)), pivots)
+        rows = np.arange(len(d))
+        own = d.argmin(axis=1)
+        nearest = d[rows, own]
+        apart = np.maximum(between[own], 1e-12)
+        reach = (d <= radius + r) & ((d * d - nearest[:, None] ** 2) / (2 * apart) <= r)
+        reach[rows, own] = True
+        row, cell = np.nonzero(reach)
+        return row, cell, own
+
+    def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(shared.value[0]), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += np.bincount(reached(batch)[1], minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)).astype(np.int32)), pa.array(n)], ["cell", "n"])
+
+    runs = np.ones(len(pivots), np.int64)
+    for c in units.mapInArrow(crowd, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a pivot
+        runs[c.cell] = max(1, -(-c.n // MEMBERS))
+    crowds = spark.sparkContext.broadcast(runs)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, runs = bounds.value[1], crowds.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = _distances(_matrix(batch.column(1)), pivots)
-            rows = np.arange(len(d))
-            own = d.argmin(axis=1)
-            nearest = d[rows, own]
-            apart = np.maximum(between[own], 1e-12)
-            reach = (d <= radius + r) & ((d * d - nearest[:, None] ** 2) / (2 * apart) <= r)
-            reach[rows, own] = True
-            row, cell = np.nonzero(reach)
-            count = parts[cell]
-            again = np.repeat(np.arange(len(row)), count)
-            part = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
-            row, cell = row[again], cell[again]
-            resident = (cell == own[row]) & (part == row % parts[cell])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(resident)], ["id", "v", "cell", "part", "resident"])
+            row, cell, own = reached(batch)
+            turn = np.random.default_rng(0).integers(0, 1 << 30, len(row))
+            home = cell == own[row]
+            # a member of one run meets every part of the residents, a resident of one part every run
+            for resident, at, many, few in ((False, np.arange(len(row)), parts, runs), (True, np.flatnonzero(home), runs, parts)):
+                count = many[cell[at]]
+                again = np.repeat(at, count)
+                each = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
+                fixed = turn[again] % few[cell[again]]
+                part, run = (fixed, each) if resident else (each, fixed)
+                take = pa.array(row[again])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (cell[again], part, run)), pa.array(np.full(len(again), resident))], ["id", "v", "cell", "part", "run", "resident"])
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"))
-        own = np.flatnonzero(rows.column("resident").to_numpy(zero_copy_only=False))
-        out: list[tuple] = []
-        for i in range(0, len(own), 512):
-            s = np.round(v[own[i : i + 512]] @ v.T, 9)
-            a, b = np.nonzero((s >= cosine) & (ids[own[i : i + 512]][:, None] < ids[None]))
-            out.append((ids[own[i + a]], ids[b], s[a, b]))
+        mine = rows.column("resident").to_numpy(zero_copy_only=False)
+        own, others = np.flatnonzero(mine), np.flatnonzero(~mine)
+        w, out = v[others], []
+        step = max(1, (1 << 20) // max(len(others), 1))
+        for i in range(0, len(own), step):
+            at = own[i : i + step]
+            s = v[at] @ w.T
+            a, b = np.nonzero(s >= cosine - 1e-8)
+            near = np.round(s[a, b], 9)
+            good = (near >= cosine) & (ids[at[a]] < ids[others[b]])
+            out.append((ids[at[a[good]]], ids[others[b[good]]], near[good]))
         a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
         return pa.table({"vec_a": a.astype(np.int64), "vec_b": b.astype(np.int64), "cosine": s.astype(np.float64)})
 
-    placed = units.mapInArrow(place, "id long, v array<double>, cell int, part int, resident boolean")
-    pairs = placed.groupBy("cell", "part").applyInArrow(join, "vec_a long, vec_b long, cosine double")
+    placed = units.mapInArrow(place, "id long, v array<double>, cell int, part int, run int, resident boolean")
+    pairs = placed.groupBy("cell", "part", "run").applyInArrow(join, "vec_a long, vec_b long, cosine double")
     return pairs.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 

@@ -361,6 +361,7 @@ def test_spans_on_awkward_input(spark):
 def test_metric_join_agrees_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "PER_PIVOT", 2.0)
     monkeypatch.setattr(metric_join, "PART", 30)
+    monkeypatch.setattr(metric_join, "MEMBERS", 50)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(200, 12))
     x = np.concatenate([base, base[:60] + 0.08 * rng.normal(size=(60, 12)), base[:5], 3 * base[5:8]])
