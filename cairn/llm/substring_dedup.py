@@ -82,7 +82,7 @@ def _emit_anchors(k: int, m: int):
     return run
 
 
-_EDGE = "edge long, second long, prev int, next int, text_key long, pos int, begin int, finish int, rows long, first_id long"
+_EDGE = "edge long, second int, prev int, next int, text_key long, pos int, begin int, finish int, rows long, first_id long"
 
 
 def _emit_edges(k: int, m: int):
@@ -109,7 +109,7 @@ def _emit_edges(k: int, m: int):
                 nxt = np.where(start + k < w.first[d + 1], word[after], -1)
                 keys = np.array(keys, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(edge.view(np.int64)), pa.array(second.view(np.int64)), pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(keys[d]),
+                    pa.array(edge.view(np.int64)), pa.array((second >> np.uint64(33)).astype(np.int32)), pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(keys[d]),
                     pa.array((start - w.first[d]).astype(np.int32)), pa.array(w.characters(w.start[start], d).astype(np.int32)), pa.array(w.characters(w.end[start + k - 1], d).astype(np.int32)),
                     pa.array(rows, pa.int64()).take(pa.array(d)), pa.array(firsts, pa.int64()).take(pa.array(d)),
                 ], ["edge", "second", "prev", "next", "text_key", "pos", "begin", "finish", "rows", "first_id"])
