@@ -7,7 +7,7 @@ from cairn.llm import bpe_reuse, chat_masks, jaccard_join, lm_trie, metric_join,
 from cairn.llm.common import table
 
 LLM_QUERIES = {
-    "op1_lm_trie": lambda spark, sf: lm_trie.score_documents(table(spark, sf, "documents")),
+    "op1_lm_trie": lambda spark, sf: lm_trie.score_documents(table(spark, sf, "documents"), lm_trie.ALL),
     "op2_url_reputation": lambda spark, sf: url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")),
     "op3_jaccard_join": lambda spark, sf: jaccard_join.jaccard_pairs(table(spark, sf, "documents")),
     "op4_repeated_spans": lambda spark, sf: substring_dedup.repeated_spans(table(spark, sf, "documents")),
