@@ -1,4 +1,4 @@
-"""Operator 4. Repeated passages by compaction of a de Bruijn graph of words.
+"""Operator 4. Repeated passages by the repeated edges of a de Bruijn graph of words.
 
 The graph's edges are the runs of ``K`` words (lower case, punctuation left out), its nodes the runs of
 ``K - 1`` between them; an edge that occurs twice or more, in whatever places, is repeated.
@@ -10,9 +10,9 @@ The graph's edges are the runs of ``K`` words (lower case, punctuation left out)
    next word and on the word before.
 3. *Compaction.* Along each source, repeated edges joined by a node at which nothing branches make one segment. Segments
    that follow each other uniquely in the repeated graph are then compacted by joins with pointer doubling: a path's segments find
-   its head in as many rounds as the length has bits.
-4. *Spans.* Path occurrences are laid back on their sources' coordinates; adjacent and overlapping ones of a document make one
-   span. A span's edges must all have been seen twice under a second, independent hash as well, which verifies it.
+   its head in as many rounds as the length has bits. The paths are carried along; they do not decide the spans.
+4. *Spans.* Segments lie on their sources' coordinates; adjacent and overlapping ones of a document make one span, whatever
+   their paths. A span's edges must all have been seen twice under a second, independent hash of 31 bits as well; words are not compared.
 
 Texts that are equal are walked once and counted as often as they occur.
 
