@@ -32,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW = 32
 #: Chunks have so many bytes on average.
-CHUNK = 2048
+CHUNK = 256
 #: A task keeps at most so many characters of chunks; beyond, the cache starts anew (only speed depends on it).
 CACHE_CHARS = 48 << 20
 
