@@ -47,6 +47,12 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def buckets_of(docs: DataFrame, each: int = 2 << 20) -> int:
+    """Into how many groups to cut what is made of ``docs``, so that a group, which one worker holds, does not grow with the table: one for each
+    ``each`` bytes of its files, and several for each shuffle partition, so that partitions are even."""
+    return max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size_in_bytes(docs) // each, 1 << 22))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table with a broadcast hint if its files are small (unpacked they may be four times as large)."""
     return F.broadcast(df) if 4 * size_in_bytes(df) <= limit else df

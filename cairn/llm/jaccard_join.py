@@ -88,7 +88,7 @@ def _emit(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, of_docs, meta, held = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
-            for ids, keys, texts in pieces((batch.column(i).to_pylist() for i in range(3)), 2):
+            for ids, keys, texts in pieces(batch, 2):
                 for k in range(0, len(ids), FLUSH_DOCS):
                     if meta and (held > FLUSH_SHINGLES or len(meta) + len(ids[k : k + FLUSH_DOCS]) > FLUSH_DOCS):
                         yield from _blobs(of_docs, meta, src, buckets)

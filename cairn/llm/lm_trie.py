@@ -37,6 +37,8 @@ from cairn.llm.text import Words, pack, pieces, unpack
 PRUNE, ALL = (2, 2, 2), (1, 1, 1)
 STEP = 0.1
 FLUSH = 4 << 20
+#: Bytes of text that are taken at once.
+BYTES = 2 << 20
 #: Word numbers of at most so many bits are sorted three in one.
 NARROW = 21
 #: Word numbers: unknown, end mark, nothing (after the end), then the vocabulary.
@@ -123,7 +125,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(h), np.int64), docs))], ["word", "n", "ends"])
 
     for batch in batches:
-        for (texts,) in pieces([batch.column(0).to_pylist()], 0):
+        for (texts,) in pieces(batch, 0, BYTES):
             w = Words(texts)
             docs += int(np.count_nonzero(np.diff(w.first)))
             held.append(np.unique(w.hash, return_counts=True))
@@ -222,7 +224,7 @@ def _emit(path: str, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "pair", "third", "n"])
 
         for batch in batches:
-            for (texts,) in pieces([batch.column(0).to_pylist()], 0):
+            for (texts,) in pieces(batch, 0, BYTES):
                 seq, doc, _ = _sequence(texts, words)
                 if len(seq):
                     held.append(((seq.astype(np.uint64) << np.uint64(32)) | _next(seq, doc, 1).astype(np.uint64), _next(seq, doc, 2)))
@@ -472,7 +474,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(path)
         for batch in batches:
-            for ids, texts in pieces((batch.column(i).to_pylist() for i in range(2)), 1):
+            for ids, texts in pieces(batch, 1, BYTES):
                 seq, doc, n = _sequence(texts, trie.words)
                 total = np.bincount(doc, trie.log_probabilities(seq, doc), len(ids))
                 unknown = np.bincount(doc, seq == UNKNOWN, len(ids)).astype(np.int64)

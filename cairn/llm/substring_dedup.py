@@ -1,28 +1,34 @@
-"""Operator 4. Repeated passages by the repeated edges of a de Bruijn graph of words.
+"""Operator 4. Repeated passages by compacting the repeated edges of a de Bruijn graph of words.
 
 The graph's edges are the runs of ``K`` words (lower case, punctuation left out), its nodes the runs of
-``K - 1`` between them; an edge that occurs twice or more, in whatever places, is repeated.
+``K - 1`` between them; an edge that occurs twice or more, in whatever places, is repeated. A node is nonbranching if all occurrences of the
+edge into it are followed by one edge, and all occurrences of that one are preceded by the first; the end of a text counts as a branch.
 
 1. *Anchors.* In every window of ``K - M + 1`` the ``M``-word run of the least hash is an anchor, so each edge
    has an anchor that is decided by the edge's words alone. Only edges whose anchor occurs at least twice can be repeated; the
    others, nearly all, are never shuffled.
-2. *Edges.* What is left is counted by edge, with the least source place, and with whether all occurrences agree on the
-   next word and on the word before.
-3. *Compaction.* Along each source, repeated edges joined by a node at which nothing branches make one segment. Segments
-   that follow each other uniquely in the repeated graph are then compacted by joins with pointer doubling: a path's segments find
-   its head in as many rounds as the length has bits. The paths are carried along; they do not decide the spans.
-4. *Spans.* Segments lie on their sources' coordinates; adjacent and overlapping ones of a document make one span, whatever
-   their paths. A span's edges must all have been seen twice under a second, independent hash of 31 bits as well; words are not compared.
+2. *Runs.* What is left travels as runs of edges that share an anchor, not edge by edge. Equal runs between equal neighbours are counted, on the map side
+   first, so a passage of a million documents reaches the graph as a few rows.
+3. *Compaction.* All occurrences of an edge have its anchor, so one group of anchors counts its edges, sees which nodes branch and compacts what lies
+   within it. These pieces are glued to paths by joins of a piece's end with the next one's beginning and pointer doubling: a piece finds its path's head in
+   as many rounds as the path's number of pieces has bits.
+4. *Sources.* Since no node of a path branches, a path occurs as a whole wherever its first edge does. The paths therefore go back, by the anchor of their first edge, to the texts
+   that hold it, and nothing else does.
+5. *Verification.* There the words from the source coordinates of the first edge to those of the last are read from the text and digested (128 bits).
+   Only occurrences of a path that agree with another one on the words count.
+6. *Spans.* Adjacent and overlapping verified paths of a text make one span.
 
 Texts that are equal are walked once and counted as often as they occur.
 
 Defined results: null and short texts have no span; an edge that is repeated within one text counts; repeated rows count as
 separate sources but rows of the same id and text give their spans once each; null ids pass and come last among sources. Ties of
-the first place go to the least id, then the text's hash, then the place. Extra columns are ignored; an empty table gives no spans.
+the first place go to the least id, then the text's hash, then the place. Extra columns are ignored; an empty table gives no spans. A very long text is
+walked whole, in one piece of its own; its cut and its spans are those of any text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import guarded, narrowed, small, written
-from cairn.llm.text import WORD_PATTERN, Words, mix, pieces, ranges_hash
+from cairn.llm.common import buckets_of, guarded, narrowed, small, written
+from cairn.llm.text import WORD_PATTERN, Words, pieces, ranges_hash
 
 #: Words of an edge: the shortest passage found.
 K = 50
 #: Words of an anchor.
 M = 16
-_SECOND = np.uint64(0xA0761D6478BD642F)
+#: A run has at most so many edges (that of a text that repeats one word would be as long as the text).
+RUN = 64
 
 
 def _slide(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -71,7 +78,7 @@ def _anchors(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
 def _emit_anchors(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in pieces((batch.column(i).to_pylist() for i in range(2)), 1):
+            for keys, texts in pieces(batch, 1):
                 w = Words(texts)
                 at, h = _anchors(w, k, m)
                 d = w.document()[at] if len(at) else at
@@ -82,101 +89,169 @@ def _emit_anchors(k: int, m: int):
     return run
 
 
-_EDGE = "edge long, second int, prev int, next int, text_key long, pos int, begin int, finish int, rows long, first_id long"
+def _edges(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: the hash of the edge that begins there, 0 where none does; and its document."""
+    doc = w.document()
+    edge = np.zeros(len(w.hash), np.uint64)
+    if len(edge) >= k:
+        at = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
+        edge[at] = ranges_hash(w.hash, at, at + k)
+    return edge, doc
+
+
+_RUNS = "anchor long, digest long, prev long, next long, text_key long, pos long, copies long, run binary"
 
 
-def _emit_edges(k: int, m: int):
+def _emit_runs(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts, known, rows, firsts in pieces((batch.column(i).to_pylist() for i in range(5)), 1):
+            for keys, texts, known, rows in pieces(batch, 1):
                 w = Words(texts)
                 if len(w.hash) < k:
                     continue
-                doc = w.document()
-                start = np.arange(len(w.hash) - k + 1)
+                edge, doc = _edges(w, k)
                 low = _slide(ranges_hash(w.hash, (at := np.arange(len(w.hash) - m + 1)), at + m), k - m + 1, True)
                 # that a hash is repeated holds for the whole corpus, so the batch's lists may be put together
-                often = np.unique(np.concatenate([np.asarray(a, np.int64) for a in known]))
-                start = start[(doc[start] == doc[start + k - 1]) & np.isin(low.view(np.int64), often)]
-                if not len(start):
+                often = np.unique(np.concatenate([np.asarray(a, np.int64) for a in known])).view(np.uint64)
+                at = np.flatnonzero((edge[: len(low)] != 0) & np.isin(low, often))
+                if not len(at):
                     continue
-                d = doc[start]
-                edge = ranges_hash(w.hash, start, start + k)
-                second = ranges_hash(mix(w.hash ^ _SECOND), start, start + k)
-                word = (w.hash >> np.uint64(33)).astype(np.int32)
-                prev = np.where(start > w.first[d], word[start - 1], -1)
-                after = np.minimum(start + k, len(word) - 1)
-                nxt = np.where(start + k < w.first[d + 1], word[after], -1)
-                keys = np.array(keys, np.int64)
+                new = np.concatenate([[True], (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])])
+                first = np.flatnonzero(new)
+                new |= (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % RUN == 0
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at))
+                own, of = edge[at], doc[at[first]]
+                begin, end = at[first], at[last - 1]
+                prev = np.where((begin > 0) & (doc[begin - 1] == of), edge[begin - 1], 0)
+                after = np.minimum(end + 1, len(doc) - 1)
+                nxt = np.where((end + 1 < len(doc)) & (doc[after] == of), edge[after], 0)
+                runs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(at)) * 8).astype(np.int32)), pa.py_buffer(own)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(edge.view(np.int64)), pa.array((second >> np.uint64(33)).astype(np.int32)), pa.array(prev.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(keys[d]),
-                    pa.array((start - w.first[d]).astype(np.int32)), pa.array(w.characters(w.start[start], d).astype(np.int32)), pa.array(w.characters(w.end[start + k - 1], d).astype(np.int32)),
-                    pa.array(rows, pa.int64()).take(pa.array(d)), pa.array(firsts, pa.int64()).take(pa.array(d)),
-                ], ["edge", "second", "prev", "next", "text_key", "pos", "begin", "finish", "rows", "first_id"])
+                    *(pa.array(x.view(np.int64)) for x in (low[begin], ranges_hash(own, first, last), prev.astype(np.uint64), nxt.astype(np.uint64))),
+                    pa.array(np.array(keys, np.int64)[of]), pa.array((begin - w.first[of]).astype(np.int64)), pa.array(np.array(rows, np.int64)[of]), runs,
+                ], [c.split()[0] for c in _RUNS.split(", ")])
 
     return run
 
 
-def repeated_edges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """The occurrences of repeated edges, a row for each place in a distinct text, with how many there are and whether it is the first."""
-    # fewer characters cannot hold k words
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.length("text") >= 2 * k - 1)
-    anchors = d.select("text_key", "text").mapInArrow(_emit_anchors(k, m), "text_key long, anchor long, n int")
-    found = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1")
-    by_text = written(found.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors")), "anchors")
-    texts = d.join(small(by_text), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
-    edges = texts.mapInArrow(_emit_edges(k, m), _EDGE)
-    place = F.struct(F.col("first_id").isNull().alias("null"), "first_id", "text_key", "pos")
-    w = Window.partitionBy("edge", "second")
-    edges = edges.withColumns({
-        "copies": F.sum("rows").over(w), "least": F.min(place).over(w), "one_next": (F.min("next").over(w) == F.max("next").over(w)) & (F.col("next") != -1), "one_prev": (F.min("prev").over(w) == F.max("prev").over(w)) & (F.col("prev") != -1),
-    }).where("copies > 1")
-    first = (F.col("least.text_key") == F.col("text_key")) & (F.col("least.pos") == F.col("pos"))
-    return edges.select("edge", "text_key", "pos", "begin", "finish", "copies", "one_next", "one_prev", first.alias("first"))
+_PIECE = "head long, anchor long, tail long, n long, up long, down long"
+
+
+def _compact(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of a group of anchors: the repeated edges, those between nonbranching nodes as one piece, with the edges it may be glued to (or 0)."""
+    col = lambda c: rows.column(c).to_numpy()
+    data = rows.column("run").to_pylist()
+    size = np.array([len(x) // 8 for x in data])
+    edge, end = np.frombuffer(b"".join(data), np.uint64), np.cumsum(size)
+    del data
+    nxt, prv = np.append(edge[1:], np.uint64(0)), np.append(np.uint64(0), edge[:-1])
+    nxt[end - 1], prv[end - size] = col("next").view(np.uint64), col("prev").view(np.uint64)
+    text, pos = np.repeat(col("text_key"), size), np.repeat(col("pos") - (end - size), size) + np.arange(len(edge))
+    order = np.lexsort((pos, text, edge))
+    e = edge[order]
+    start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+    copies = np.add.reduceat(np.repeat(col("copies"), size)[order], start)
+    keep = copies > 1
+    if not keep.any():
+        return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in _PIECE.split(", ")})
+
+    def only(x: np.ndarray) -> np.ndarray:
+        """The one neighbour of each edge, or 0."""
+        low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+        return np.where(low == high, low, 0)[keep]
+
+    nxt, prv, least = only(nxt[order]), only(prv[order]), order[start][keep]
+    # all occurrences of edges between nonbranching nodes are side by side, so their least places are
+    e, text, pos, anchor = edge[least], text[least], pos[least], np.repeat(col("anchor"), size)[least]
+    order = np.lexsort((pos, text))
+    e, nxt, prv, text, pos, anchor = (x[order] for x in (e, nxt, prv, text, pos, anchor))
+    glued = (text[1:] == text[:-1]) & (pos[1:] == pos[:-1] + 1) & (nxt[:-1] == e[1:]) & (prv[1:] == e[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~glued]))
+    last = np.append(first[1:], len(e)) - 1
+    out = (e[first], anchor[first], e[last], (last - first + 1).astype(np.int64), prv[first], nxt[last])
+    return pa.table({c.split()[0]: pa.array(x.view(np.int64)) for c, x in zip(_PIECE.split(", "), out, strict=True)})
+
+
+def pieces_of_paths(runs: DataFrame, buckets: int) -> DataFrame:
+    """``head, anchor, tail, n, up, down``: the compacted pieces of each group of anchors."""
+    place = F.struct("text_key", "pos")
+    equal = runs.groupBy("anchor", "digest", "prev", "next").agg(F.sum("copies").alias("copies"), F.min(place).alias("place"), F.first("run").alias("run"))
+    equal = equal.select("anchor", "prev", "next", "copies", "place.text_key", "place.pos", "run")
+    return equal.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda key, rows: _compact(key, rows), _PIECE)
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """``path, anchor, edges``: the nonbranching paths, by their first edge, glued from pieces by pointer doubling.
+
+    No path is a circle: the last occurrence of its edges in a text would have to be followed by another.
+    """
+    p = found.select("head", "tail", "n", "up", "down")
+    before = p.where("down <> 0").select(F.col("down").alias("head"), F.col("tail").alias("up"), F.col("head").alias("path"))
+    jump = written(p.where("up <> 0").select("head", "up").join(before, ["head", "up"]).select("head", "path"), "links")
+    moved = bool(jump.limit(1).count())
+    while moved:
+        far = jump.select(F.col("head").alias("path"), F.col("path").alias("far"))
+        jump = written(jump.join(small(far), "path", "left").select("head", F.coalesce("far", "path").alias("path"), F.col("far").isNotNull().alias("moved")), "paths")
+        moved = bool(jump.where("moved").limit(1).count())
+        jump = jump.select("head", "path")
+    of = found.select("head", "anchor", "n").join(small(jump), "head", "left").withColumn("path", F.coalesce("path", "head"))
+    return of.groupBy("path").agg(F.max(F.when(F.col("path") == F.col("head"), F.col("anchor"))).alias("anchor"), F.sum("n").alias("edges"))
 
 
-def segments(edges: DataFrame) -> DataFrame:
-    """Edges of one text in a row, with no branching between: ``text_key, pos, edges, head, tail, begin, finish, copies, later``.
+_PLACE = "path long, edges int, high long, low long, text_key long, pos int, begin int, finish int, rows long, first_id long"
 
-    ``head`` and ``tail`` are the first and last edge; ``later`` the places that are not an edge's first.
-    """
-    w = Window.partitionBy("text_key").orderBy("pos")
-    same = (F.lag("pos").over(w) == F.col("pos") - 1) & F.lag("one_next").over(w) & F.col("one_prev") & (F.lag("first").over(w) == F.col("first"))
-    e = edges.withColumn("cut", F.when(same, 0).otherwise(1)).withColumn("seg", F.sum("cut").over(w))
-    return e.groupBy("text_key", "seg").agg(
-        F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("edges"), F.min_by("edge", "pos").alias("head"), F.max_by("edge", "pos").alias("tail"),
-        F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.max("copies").alias("copies"), F.first("first").alias("first"),
-    )
 
+def _emit_places(k: int):
+    """The occurrences of the paths whose first edge may be in a text, with a digest of the words at their coordinates."""
 
-def compacted(segs: DataFrame) -> DataFrame:
-    """``head, path``: the path (its first segment's head edge) that each distinct segment belongs to.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, texts, paths, rows, firsts in pieces(batch, 1):
+                w = Words(texts)
+                edge, doc = _edges(w, k)
+                wanted = np.array([(x["path"], x["edges"]) for own in paths for x in own], np.int64).reshape(-1, 2)
+                path, one = np.unique(wanted[:, 0].view(np.uint64), return_index=True)
+                at = np.flatnonzero(np.isin(edge, path) & (edge != 0))
+                n = wanted[one, 1][np.searchsorted(path, edge[at])]
+                # a path that runs out of the text is no occurrence: only edges whose hashes collide come to that
+                fits = at + n + k - 1 <= w.first[doc[at] + 1]
+                at, n = at[fits], n[fits]
+                if not len(at):
+                    continue
+                d, last = doc[at], at + n + k - 2
+                begin, finish = w.start[at], w.end[last]
+                said = w.plain()
+                digest = np.frombuffer(b"".join(hashlib.blake2b(said[a:b], digest_size=16).digest() for a, b in zip(w.plain_start[at].tolist(), (w.plain_start[last] + w.end[last] - w.start[last]).tolist(), strict=True)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(edge[at].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.array(keys, np.int64)[d]), pa.array((at - w.first[d]).astype(np.int32)),
+                    pa.array(w.characters(begin, d).astype(np.int32)), pa.array(w.characters(finish, d).astype(np.int32)), pa.array(rows, pa.int64()).take(pa.array(d)), pa.array(firsts, pa.int64()).take(pa.array(d)),
+                ], [c.split()[0] for c in _PLACE.split(", ")])
 
-    A segment is joined to the one after it when each is the other's only neighbour. Segments on a closed circle have
-    no first one and stay paths of their own.
-    """
-    s = segs.select("text_key", "pos", "edges", "head")
-    follows = s.alias("p").join(s.alias("q"), (F.col("p.text_key") == F.col("q.text_key")) & (F.col("q.pos") == F.col("p.pos") + F.col("p.edges"))).select(F.col("p.head").alias("a"), F.col("q.head").alias("b")).distinct()
-    links = follows.withColumn("out", F.count(F.lit(1)).over(Window.partitionBy("a"))).withColumn("inn", F.count(F.lit(1)).over(Window.partitionBy("b")))
-    links = written(links.where("out = 1 and inn = 1 and a <> b").select(F.col("b").alias("head"), F.col("a").alias("up")), "links")
-    n = links.count()
-    jump = links.withColumn("path", F.col("up"))
-    for _ in range(max(1, n).bit_length()):
-        nxt = jump.select(F.col("head").alias("path"), F.col("path").alias("far"))
-        jump = written(jump.join(nxt, "path", "left").select("head", F.coalesce("far", "path").alias("path"), (F.col("far").isNotNull()).alias("moved")), "paths")
-        if not jump.where("moved").limit(1).count():
-            return jump.select("head", "path")
-        jump = jump.select("head", "path")
-    # whatever still moves lies on a circle
-    ends = links.select(F.col("head").alias("path"))
-    return jump.join(ends, "path", "left_anti").select("head", "path")
+    return run
 
 
-def text_spans(docs: DataFrame, k: int = K) -> DataFrame:
-    """A written table of path occurrences: ``text_key, pos, edges, begin, finish, copies, first, path``."""
-    segs = written(segments(repeated_edges(docs, k)), "segments")
-    paths = compacted(segs)
-    return written(segs.join(small(written(paths, "compacted")), "head", "left").withColumn("path", F.coalesce("path", "head")), "occurrences")
+def text_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """A written table of verified path occurrences: ``text_key, pos, edges, begin, finish, copies, first, path``."""
+    buckets = buckets_of(docs)
+    # fewer characters cannot hold k words
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.length("text") >= 2 * k - 1)
+    anchors = written(d.select("text_key", "text").mapInArrow(_emit_anchors(k, m), "text_key long, anchor long, n int").groupBy("text_key", "anchor").agg(F.sum("n").alias("n")), "anchors")
+    often = anchors.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1").select("anchor")
+    held = written(anchors.select("text_key", "anchor").join(often, "anchor", "left_semi"), "repeated-anchors")
+    by_text = written(held.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors")), "texts")
+    texts = d.join(small(by_text), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.count(F.lit(1)).alias("rows"))
+    found = written(pieces_of_paths(texts.mapInArrow(_emit_runs(k, m), _RUNS), buckets), "pieces")
+    paths = written(compacted(found), "compacted")
+    by_text = held.join(small(paths), "anchor").groupBy("text_key").agg(F.collect_list(F.struct("path", "edges")).alias("paths"))
+    by_text = written(by_text, "paths-of-texts")
+    texts = d.join(small(by_text), "text_key").groupBy("text_key").agg(F.first("text").alias("text"), F.first("paths").alias("paths"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
+    places = written(texts.mapInArrow(_emit_places(k), _PLACE), "places")
+    place = F.struct(F.col("first_id").isNull().alias("null"), "first_id", "text_key", "pos")
+    agreed = places.groupBy("path", "high", "low").agg(F.sum("rows").alias("copies"), F.min(place).alias("least")).where("copies > 1")
+    agreed = written(agreed.select("path", "high", "low", "copies", F.col("least.text_key").alias("least_key"), F.col("least.pos").alias("least_pos")), "agreed")
+    first = (F.col("least_key") == F.col("text_key")) & (F.col("least_pos") == F.col("pos"))
+    return written(places.join(small(agreed), ["path", "high", "low"]).select("text_key", "pos", "edges", "begin", "finish", "copies", first.alias("first"), "path"), "occurrences")
 
 
 def _merged(occurrences: DataFrame, k: int, only_later: bool) -> DataFrame:
@@ -186,7 +261,7 @@ def _merged(occurrences: DataFrame, k: int, only_later: bool) -> DataFrame:
     end = F.max(F.col("pos") + F.col("edges") + (k - 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     o = o.withColumn("span", F.sum(F.when(end >= F.col("pos"), 0).otherwise(1)).over(w))
     first = F.min("pos")
-    return o.groupBy("text_key", "span").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), first.alias("word"), (F.max(F.col("pos") + F.col("edges")) + (k - 1) - first).alias("words"), F.max("copies").alias("copies"), F.count_distinct("path").alias("paths")).drop("span")
+    return o.groupBy("text_key", "span").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), first.alias("word"), (F.max(F.col("pos") + F.col("edges")) + (k - 1) - first).alias("words"), F.max("copies").alias("copies")).drop("span")
 
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:

@@ -7,9 +7,11 @@ of a batch at once: prefix sums of a polynomial modulo 2**64 give each word's ha
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 _IS_WORD = np.zeros(256, bool)
@@ -53,7 +55,10 @@ def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     """Hashes of the runs ``values[start:end]`` of a sequence of small or hashed integers."""
     n = len(values) + 1
     prefix = np.zeros(n, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[1:], out=prefix[1:])
+    run = prefix[1:]
+    np.add(values, np.uint64(1), out=run, casting="unsafe")
+    run *= powers(_BASE, n)[1:]
+    np.cumsum(run, out=run)
     h = (prefix[end] - prefix[start]) * powers(_INVERSE, n)[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -78,32 +83,34 @@ class Words:
         """The index of each word's document."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def plain(self) -> memoryview:
+        """The words of all documents with a space after each; ``plain_start`` is each word's place there."""
+        size = self.end - self.start + 1
+        keep = np.zeros(len(self.bytes) + 1, bool)
+        keep[:-1] = _IS_WORD[self.bytes]
+        keep[self.end] = True
+        data = np.append(self.bytes, np.uint8(32))
+        data[self.end] = 32
+        self.plain_start = np.cumsum(size) - size
+        return memoryview(data[keep])
+
     def characters(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Byte places ``at`` of the batch as characters from the start of documents ``of``."""
         head = np.concatenate([[0], np.cumsum((self.bytes & 0xC0) != 0x80)])
         return head[at] - head[self.begin[of]]
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` words from each place on; the last ``n-1`` places have none."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
-    at = np.arange(len(hashes) - n + 1)
-    return ranges_hash(hashes, at, at + n)
-
-
-def pieces(columns: Iterable[list], texts: int, limit: int = 2 << 20) -> Iterator[tuple[list, ...]]:
-    """The rows of some columns in runs of at most ``limit`` characters of the ``texts``-th column, or one row."""
-    columns = list(columns)
-    start = size = 0
-    for i, t in enumerate(columns[texts]):
-        n = len(t) if t else 0
-        if size and size + n > limit:
-            yield tuple(c[start:i] for c in columns)
-            start, size = i, 0
-        size += n
-    if start < len(columns[texts]):
-        yield tuple(c[start:] for c in columns)
+def pieces(batch: pa.RecordBatch, texts: int, limit: int = 1 << 19) -> Iterator[list[list]]:
+    """The columns of a batch as lists, in runs of rows of at most ``limit`` bytes of its ``texts``-th column, or of one row.
+
+    Rows become Python objects a run at a time, so a worker's memory does not follow the size of Arrow's batches.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
+        yield [c.slice(at, end - at).to_pylist() for c in batch.columns]
+        at, done = end, int(size[end - 1])
 
 
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()

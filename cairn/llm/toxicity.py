@@ -166,7 +166,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         df, rows = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for (texts,) in pieces([batch.column(0).to_pylist()], 0):
+            for (texts,) in pieces(batch, 0, 2 << 20):
                 df += np.bincount(_terms(texts, shared.value)[1], minlength=len(df))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1).astype(np.int64)), pa.array(np.append(df[seen], rows))], ["term", "n"])
@@ -209,11 +209,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index, table = model.value
         for batch in batches:
-            for ids, texts in pieces((batch.column(i).to_pylist() for i in range(2)), 1, 2 << 20):
+            for ids, texts in pieces(batch, 1, 2 << 20):
                 vote, evidence, known = np.zeros(len(ids)), [""] * len(ids), np.zeros(len(ids), bool)
                 if index:
-                    who = np.array([math.nan if i is None else 0 for i in ids])
-                    who = np.array([np.iinfo(np.int64).min if x != x else i for x, i in zip(who, ids, strict=True)], np.int64)
+                    who = pa.array(ids, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
                     sims, at, mass = index.nearest(who, *_terms(texts, vocabulary))
                     vote, known = index.vote(sims, at, mass), at[:, 0] >= 0
                     names = index.ids[at]
