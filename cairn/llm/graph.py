@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import written
@@ -14,8 +14,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     else:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-    hung = pairs.withColumn("m", least)
+    # counted on the map side first and joined back, where a node of very many neighbours may be split
+    hung = pairs.join(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u")
     if small:
         out = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(hung.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e, before = written(e, "edges"), None
     while True:
-        e = written(_stars(_stars(e, small=False), small=True), "edges")
+        e = written(_stars(written(_stars(e, small=False), "stars"), small=True), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -36,15 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import guarded, narrowed, small, written
+from cairn.llm.common import buckets_of, guarded, narrowed, small, written
 from cairn.llm.graph import components
 from cairn.llm.text import WORD_PATTERN, Words, mix, pack, pieces, ranges_hash, unpack
 
 N, THRESHOLD = 4, 0.4
 HOT = 64
 BLOCK = 4096
-#: A map task's blobs are sent when so many shingles or documents have come together.
-FLUSH_SHINGLES, FLUSH_DOCS = 2 << 20, 60_000
+#: A map task's blobs are sent when so many shingles or documents have come together: 8 MB, whatever the table's size.
+FLUSH_SHINGLES, FLUSH_DOCS = 1 << 20, 60_000
+#: Pairs that met are counted when so many have come together.
+MET = 1 << 20
 _BITS, _LOW = np.uint64(16), np.uint64(0xFFFF)
 
 
@@ -62,43 +64,65 @@ def shingle_sets(texts: list[str | None], n: int) -> np.ndarray:
     return np.unique((doc[start].astype(np.uint64) << np.uint64(48)) | h)
 
 
-def _blobs(of_docs: list[np.ndarray], meta: list[list], src: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The rows ``bucket, src, payload`` of one flush; the documents' own data goes to a bucket beyond."""
-    sets = np.concatenate(of_docs)
-    doc, h = sets >> np.uint64(48), sets & np.uint64((1 << 48) - 1)
-    size = np.bincount(doc.astype(np.int64), minlength=len(meta)).astype(np.uint64)
-    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
-    last = np.cumsum(size.astype(np.int64))
-    fp = mixed[last] - mixed[last - size.astype(np.int64)]
-    ids = np.array([0 if m[0] is None else m[0] for m in meta], np.int64).view(np.uint64)
-    null = np.array([m[0] is None for m in meta], np.uint64)
-    key = np.array([m[1] for m in meta], np.int64).view(np.uint64)
-    rows = [(buckets + src % buckets, src, np.concatenate([ids, null, key, size, fp]).tobytes())]
-    entry = np.sort((h << _BITS) | doc)
-    bucket = ((entry >> _BITS) % np.uint64(buckets)).astype(np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    entry = entry[order]
-    rows += [(b, src, pack(entry[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
-    for i in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "src", "payload"])
+class _Held:
+    """The shingles of a flush in one array of a fixed size, and what is known of their documents."""
+
+    def __init__(self):
+        self.sets, self.n = np.empty(FLUSH_SHINGLES, np.uint64), 0
+        self.meta: list[np.ndarray] = []
+        self.docs = 0
+
+    def fits(self, sets: np.ndarray, docs: int) -> bool:
+        return not self.docs or (self.n + len(sets) <= len(self.sets) and self.docs + docs <= FLUSH_DOCS)
+
+    def add(self, ids: list, keys: list, sets: np.ndarray) -> None:
+        if len(sets) > len(self.sets):  # one very long text, alone
+            self.sets = np.empty(len(sets), np.uint64)
+        h = sets & np.uint64((1 << 48) - 1)
+        last = np.searchsorted(sets, np.arange(1, len(ids) + 1, dtype=np.uint64) << np.uint64(48))
+        size = np.diff(last, prepend=0)
+        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
+        one = pa.array(ids, pa.int64())
+        self.meta.append(np.stack([one.fill_null(0).to_numpy().view(np.uint64), one.is_null().to_numpy(zero_copy_only=False).astype(np.uint64), np.array(keys, np.int64).view(np.uint64), size.astype(np.uint64), mixed[last] - mixed[last - size]]))
+        # the hash first, so that one sort in place makes the ranges of hashes, each in order
+        np.add(h << _BITS, (sets >> np.uint64(48)) + np.uint64(self.docs), out=self.sets[self.n : self.n + len(sets)])
+        self.n += len(sets)
+        self.docs += len(ids)
+
+    def blobs(self, src: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The rows ``bucket, src, payload``; the documents' own data goes to a bucket beyond."""
+        entry = self.sets[: self.n]
+        entry.sort()
+        cut = np.searchsorted(entry, _bounds(buckets)).tolist() + [self.n]
+        rows = [(buckets + src % buckets, src, np.concatenate(self.meta, axis=1).tobytes())]
+        for b in range(buckets + 1):
+            if b == buckets or len(rows) == 64:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "src", "payload"])
+                rows = []
+            if b < buckets and cut[b] < cut[b + 1]:
+                rows.append((b, src, pack(entry[cut[b] : cut[b + 1]])))
+        self.n, self.docs, self.meta = 0, 0, []
+
+
+def _bounds(buckets: int) -> np.ndarray:
+    """The least entry of each range of hashes."""
+    return np.array([(b << 64) // buckets >> 16 << 16 for b in range(buckets)], np.uint64)
 
 
 def _emit(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, of_docs, meta, held = TaskContext.get().partitionId() << 24, [], [], 0
+        src, held = TaskContext.get().partitionId() << 24, _Held()
         for batch in batches:
             for ids, keys, texts in pieces(batch, 2):
                 for k in range(0, len(ids), FLUSH_DOCS):
-                    if meta and (held > FLUSH_SHINGLES or len(meta) + len(ids[k : k + FLUSH_DOCS]) > FLUSH_DOCS):
-                        yield from _blobs(of_docs, meta, src, buckets)
-                        src, of_docs, meta, held = src + 1, [], [], 0
-                    got = shingle_sets(texts[k : k + FLUSH_DOCS], n)
-                    of_docs.append(got + (np.uint64(len(meta)) << np.uint64(48)))
-                    meta += zip(ids[k : k + FLUSH_DOCS], keys[k : k + FLUSH_DOCS], strict=True)
-                    held += len(got)
-        if meta:
-            yield from _blobs(of_docs, meta, src, buckets)
+                    own = slice(k, k + FLUSH_DOCS)
+                    got = shingle_sets(texts[own], n)
+                    if not held.fits(got, len(ids[own])):
+                        yield from held.blobs(src, buckets)
+                        src += 1
+                    held.add(ids[own], keys[own], got)
+        if held.docs:
+            yield from held.blobs(src, buckets)
 
     return run
 
@@ -110,22 +134,32 @@ def _count(buckets: int):
         src = rows.column("src").to_numpy()
         if key[0].as_py() >= buckets:
             return pa.table({"src": src, "meta": np.ones(len(src), bool), "payload": rows.column("payload")})
-        parts = [unpack(p.as_py()) for p in rows.column("payload")]
-        entry = np.concatenate(parts)
+        payload = rows.column("payload").to_pylist()
+        parts = []
+        for i in range(len(payload)):
+            parts.append(unpack(payload[i]))
+            payload[i] = None
         of = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
-        order = np.argsort(entry >> _BITS, kind="stable")
-        h = entry[order] >> _BITS
+        n_parts, entry = len(parts), np.concatenate(parts)
+        del parts
+        order = np.argsort(entry >> _BITS, kind="stable").astype(np.uint32)
+        entry = entry[order]
+        of = of[order]
+        del order
+        h = entry >> _BITS
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         df = np.diff(np.append(start, len(h)))
-        df = np.repeat(np.minimum(df, 32767), df).astype(np.uint64)
-        keep = df > 1
-        order, rank = order[keep], (df[keep] << np.uint64(48)) | h[keep]
-        doc, of = (entry[order] & _LOW).astype(np.uint16), of[order]
+        keep = np.repeat(df > 1, df)
+        df = np.minimum(df[df > 1], 32767).repeat(df[df > 1]).astype(np.uint64)
+        rank = (df << np.uint64(48)) | h[keep]
+        del h, df
+        doc, of = (entry[keep] & _LOW).astype(np.uint16), of[keep]
+        del entry, keep
         by = np.argsort(of, kind="stable")
         rank, doc = rank[by], doc[by]
-        cut = np.searchsorted(of[by], np.arange(len(parts) + 1))
+        cut = np.searchsorted(of[by], np.arange(n_parts + 1))
         out_src, out = [], []
-        for i in range(len(parts)):
+        for i in range(n_parts):
             if cut[i] < cut[i + 1]:
                 r, d = rank[cut[i] : cut[i + 1]], doc[cut[i] : cut[i + 1]]
                 s = np.argsort(r)
@@ -165,7 +199,7 @@ def _assemble(threshold: float):
 
 def sets_with_partners(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """A written table with a row for each distinct set that may have a partner: ``fp, size, shared, docs``."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(docs)
     given = narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     blobs = given.mapInArrow(_emit(n, buckets), "bucket long, src long, payload binary")
     counted = blobs.groupBy("bucket").applyInArrow(_count(buckets), "src long, meta boolean, payload binary")
@@ -238,7 +272,7 @@ def _lists(threshold: float):
             a, b = me[alive[can]], me[other[can]]
             codes.append(np.minimum(a, b) * len(who) + np.maximum(a, b))
             held += len(a)
-            if held > 4 << 20:
+            if held > MET:
                 tally()
             d += 1
         if codes:
@@ -256,7 +290,7 @@ def _lists(threshold: float):
 
 def linked(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``a, b`` of sets such that any two sets at the threshold are in one component of them."""
-    buckets = 2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(sets, 1 << 20)
     index = sets.select("fp", "size", "shared").mapInArrow(_prefixes(threshold), "shingle long, fp long, size int, pos int, rest int, hot int, last long")
     met = index.groupBy(F.pmod(F.xxhash64("shingle"), F.lit(buckets)).alias("bucket")).applyInArrow(_lists(threshold), _LINKS)
     return met.groupBy("a", "b").agg(F.sum("found").alias("found"), F.min("need").alias("low"), F.max("need").alias("need")).where("low = 0 or found >= need").select("a", "b")
@@ -330,7 +364,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select(F.col("node").alias("fp"), "component", "own", other.alias("other"))
     placed = placed.select("fp", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    buckets = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(sets, 1 << 20)
     full = sets.select("fp", "size", "shared").join(small(written(placed, "placed")), "fp")
     return full.groupBy(F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(_join(threshold), "a long, b long, jaccard double")
 

@@ -6,9 +6,11 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -346,11 +348,46 @@ def test_paths_are_compacted(spark):
     assert substring_dedup.repeated_spans(documents(spark, [again])).first().n_words == 180
 
 
+def test_compaction_decides_the_spans(spark, docs, monkeypatch):
+    whole = substring_dedup.compacted
+    monkeypatch.setattr(substring_dedup, "compacted", lambda found: whole(found).where("false"))
+    assert substring_dedup.repeated_spans(docs).count() == 0
+
+
+def test_paths_are_glued_over_many_anchors(spark):
+    v = vocabulary(2000, 9)
+    long, other = " ".join(v[:900]), " ".join(v[1000:1300])
+    texts = [f"{v[950]} {long} {v[951]}", f"{v[952]} {long}", f"{long} {v[953]} {other}", f"{other} {v[954]}"]
+    rows = substring_dedup.text_spans(documents(spark, texts)).collect()
+    assert sorted((r.edges, r.copies) for r in rows) == [(251, 2)] * 2 + [(851, 3)] * 3
+    assert len({r.path for r in rows}) == 2 and sum(r.first for r in rows) == 2
+
+
+def test_words_at_the_coordinates_are_verified(spark, monkeypatch):
+    """Edges whose hashes collide make no span: the texts' own words decide."""
+    true = substring_dedup._edges
+
+    def colliding(w, k):
+        edge, doc = true(w, k)
+        return np.where(edge != 0, np.uint64(7), np.uint64(0)), doc
+
+    v = vocabulary(300, 3)
+    w = Words([" ".join(v[:60]), " ".join(v[100:160]), " ".join(v[:60])])
+    batch = pa.RecordBatch.from_pydict({"text_key": [1, 2, 3], "text": [" ".join(v[:60]), " ".join(v[100:160]), " ".join(v[:60])], "paths": [[{"path": 7, "edges": 1}]] * 3, "rows": [1, 1, 1], "first_id": [1, 2, 3]})
+    monkeypatch.setattr(substring_dedup, "_edges", colliding)
+    (out,) = substring_dedup._emit_places(50)([batch])
+    said = Counter(zip(out.column("high").to_pylist(), out.column("low").to_pylist(), strict=True))
+    assert len(w.first) == 4 and sorted(said.values()) == [1] * 11 + [2] * 11
+
+
 def test_spans_on_awkward_input(spark):
     df = awkward(spark)
     assert {r.doc_id for r in substring_dedup.repeated_spans(df).collect()} == {4, 5}
     out = substring_dedup.cut_repeats(df)
-    assert out.columns == df.columns and out.count() == len(AWKWARD)
+    assert out.columns == df.columns
+    # what stands in one text alone keeps its first place: one word again and again is cut to the words of an edge
+    got = sorted((r[0] is None, r[0] or 0, r[1] is None, r[1] or "") for r in out.collect())
+    assert got == sorted((i is None, i or 0, t is None, t or "") for i, t in brute_cut([a[:2] for a in AWKWARD], substring_dedup.K))
     assert substring_dedup.repeated_spans(empty(spark)).count() == 0
     assert substring_dedup.cut_repeats(empty(spark)).count() == 0
 
@@ -483,7 +520,7 @@ def test_toxicity_on_awkward_input(spark):
 def test_quality_rules(spark):
     good = "A plain sentence of several ordinary words stands here."
     texts = [good, "## $$ %% && ## x $$", "LOUD WORDS EVERYWHERE IN THIS TEXT", "the " * 40, "", None, "ok fine"]
-    rows = [(i, t, "en", "mixed", 0) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "mixed" if i < 6 else "calm", 0) for i, t in enumerate(texts)] + [(300 + i, good, "en", "calm", 0) for i in range(30)]
     rows += [(100 + i, "the cat cat sat sat on the mat and slept", "en", "bad", 0) for i in range(30)] + [(200, good, "en", "bad", 0), (201, good, "en", None, 0)]
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in quality_rules.quality_verdicts(df).collect()}
@@ -503,10 +540,34 @@ def test_bad_hosts_are_held_to_the_soft_limit(spark):
     assert got[501].keep
 
 
+def brute_marks(text):
+    """The rules whose soft limits a text breaks, and those whose hard ones."""
+    text = text or ""
+    w = re.split(r"[\t\n\x0b\f\r ]+", text.strip("\t\n\x0b\f\r "))
+    w = [x for x in w if x]
+    flat, n = " ".join(w), max(len(w), 1)
+    m = {
+        "short": -len(w), "symbols": sum(text.count(c) for c in quality_rules.SYMBOLS) / n, "shouting": sum(unicodedata.category(c) == "Lu" for c in flat) / max(len(flat), 1),
+        "repeats": sum(a == b for a, b in itertools.pairwise(w)) / n, "exclaims": (text.count("!") + text.count("?")) / n,
+    }
+    return tuple({r for r, x in quality_rules.RULES.items() if m[r] > (-x[i] if r == "short" else x[i])} for i in (0, 1))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbÉé ßΩ!?#|\n\t\x0b\u00a0😀𝐀"), max_size=40)), max_size=6))
+def test_marks_agree_with_brute_force(texts):
+    rules = list(quality_rules.RULES)
+    got = [tuple({r for i, r in enumerate(rules) if x >> (i + j * len(rules)) & 1} for j in (0, 1)) for x in quality_rules.marks_of(texts).tolist()]
+    assert got == [brute_marks(t) for t in texts]
+
+
 def test_quality_on_awkward_input(spark):
     df = awkward(spark)
-    assert quality_rules.quality_verdicts(df).count() == len(AWKWARD)
-    assert quality_rules.drop_rejected(df).columns == df.columns
+    got = quality_rules.quality_verdicts(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.host) for r in got) == sorted((a[0] is None, a[0] or 0, a[3] or "(none)") for a in AWKWARD)
+    assert {r.doc_id: r.failed_rules for r in got if r.doc_id is not None} == {a[0]: ",".join(r for r in quality_rules.RULES if r in brute_marks(a[1])[0]) for a in AWKWARD if a[0] is not None}
+    kept = quality_rules.drop_rejected(df)
+    assert kept.columns == df.columns and kept.count() == sum(r.keep for r in got)
     assert quality_rules.quality_verdicts(empty(spark)).count() == 0
     assert quality_rules.drop_rejected(empty(spark)).count() == 0
 

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from cairn.llm import bpe_reuse, jaccard_join, mixing, substring_dedup
+from cairn.llm import bpe_reuse, jaccard_join, mixing, quality_rules, substring_dedup
 from cairn.llm.queries import LLM_QUERIES, LLM_SQL
 
 HERE = Path(__file__).parent
@@ -28,17 +28,25 @@ brute = _module(HERE / "test_operators.py", "brute")
 engine = _module(HERE.parent / "test_queries.py", "engine_queries")
 
 
+def verdicts(rows):
+    """Of ``doc_id, text, source``: which rows the host-level rules keep."""
+    marks = [brute.brute_marks(t) for _, t, _ in rows]
+    bad = set()
+    hosts = {s for _, _, s in rows}
+    for r in quality_rules.RULES:
+        n = {h: sum(s == h for _, _, s in rows) for h in hosts}
+        f = {h: sum(s == h and r in m[0] for (_, _, s), m in zip(rows, marks, strict=True)) for h in hosts}
+        mean = sum(f.values()) / len(rows)
+        spread = sum(n[h] * (f[h] / n[h] - mean) ** 2 for h in hosts) / len(rows) - mean * (1 - mean) * len(hosts) / len(rows)
+        k = min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1), 1000)
+        limit = max(mean + quality_rules.Z * (mean * (1 - mean) / (k + 1)) ** 0.5, quality_rules.LEAST)
+        bad |= {(h, r) for h in hosts if (f[h] + mean * k) / (n[h] + k) > limit}
+    return [not hard and not any((s, r) in bad for r in soft) for (_, _, s), (soft, hard) in zip(rows, marks, strict=True)]
+
+
 def by_hand(rows):
     """All stages over ``doc_id, text, source`` in plain Python."""
-    kept = []
-    for i, t, s in rows:  # no host is bad in these tables, so only hard limits count
-        w = (t or "").split()
-        sym = sum((t or "").count(c) for c in "#$%&*|!{}<>~^\\") / max(len(w), 1)
-        flat = " ".join(w)
-        loud = sum(c.isupper() for c in flat) / max(len(flat), 1)
-        again = sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(len(w), 1)
-        if len(w) >= 1 and sym <= 0.20 and loud <= 0.45 and again <= 0.42:
-            kept.append((i, t, s))
+    kept = [r for r, ok in zip(rows, verdicts(rows), strict=True) if ok]
     group = {i: i for i, _, _ in kept}
 
     def find(x):
@@ -82,13 +90,25 @@ def test_pipeline_agrees_with_brute_force(spark):
     assert got == by_hand(rows)
 
 
+def test_a_bad_host_loses_documents_in_the_pipeline(spark):
+    soft, good = "the cat cat sat sat on on the mat mat and slept", "A plain sentence of several ordinary words stands here."
+    rows = [(i, f"{soft} {i}", "bad") for i in range(60)] + [(60 + i, f"{good} {i}", f"h{i % 12}") for i in range(240)] + [(500, soft, "h1"), (501, good, "bad")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], brute.DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, df, SF).collect()}
+    assert kept == {i for (i, _, _), ok in zip(rows, verdicts(rows), strict=True) if ok} == set(range(60, 300)) | {500, 501}
+
+
 def test_stages_take_awkward_and_empty_tables(spark):
     for make in (brute.awkward, brute.empty):
         docs = make(spark)
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert name == "encode" or out.columns == docs.columns
-            out.count()
+            got = [tuple(r) for r in out.collect()]  # every column is made
+            if name in ("repeats", "encode"):
+                assert sorted(str(r[0]) for r in got) == sorted(str(r[0]) for r in docs.collect())
+            elif name != "mix":
+                assert set(map(str, got)) <= {str(tuple(r)) for r in docs.collect()}
 
 
 @needs_tables
