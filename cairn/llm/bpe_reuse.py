@@ -164,7 +164,7 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds each document's least chunk hash, or a hash of its place for texts of no chunk."""
     for batch in batches:
         keys = []
-        for (texts,) in pieces([batch.column(1).to_pylist()], 0):
+        for (texts,) in pieces(batch.select(["text"]), 0):
             parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             data = np.frombuffer(b"".join(parts), np.uint8)
             begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
@@ -199,7 +199,7 @@ def _encode(path: str):
             return got
 
         for batch in batches:
-            for ids, texts, sources in pieces((batch.column(i).to_pylist() for i in range(3)), 1, 1 << 20):
+            for ids, texts, sources in pieces(batch, 1):
                 chunks = _split([t or "" for t in texts])
                 tokens = [None if t is None else joined(enc, c, known) for t, c in zip(texts, chunks, strict=True)]
                 back = [None if t is None else enc.decode_bytes(k) == t.encode("utf-8", "surrogatepass") for t, k in zip(texts, tokens, strict=True)]

@@ -7,12 +7,12 @@ beyond whose boundary, ``(d(x, q)^2 - d(x, p)^2) / (2 d(p, q))`` away, it lies f
 all vectors in it, apart from the others. A pair is emitted in the home of its lesser id, so once. A cell of
 many residents is cut into parts that each see the whole cell.
 
-The pivots grow as the square root of the table up to ``MOST_PIVOTS`` (a bounded broadcast). In many dimensions near boundaries are everywhere: for vectors
+The pivots grow as the square root of the table, and are what is broadcast: 40 MB for 4 * 10^11 vectors of 64 elements. In many dimensions near boundaries are everywhere: for vectors
 without structure nearly all are copied to most cells, which is the price of an exact answer.
 
 Defined results: vectors that are null, empty, of another length than the most frequent one, of zero length or with a null or non-finite element have
 no partner; null ids are left out; an id is never its own partner, of repeated rows of an id each vector pairs (distinct pairs at their greatest cosine);
-equal vectors have cosine 1; cosines are compared at 9 decimals. Extra columns are ignored.
+equal vectors have cosine 1; cosines are compared at 9 decimals. Extra columns are ignored; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import narrowed, written
 
 COSINE = 0.95
-#: Pivots for so many vectors each, at least 1 and at most ``MOST_PIVOTS``; residents of a cell's part.
-PER_PIVOT, MOST_PIVOTS, PART = 64.0, 1024, 4096
+#: There are as many pivots as the root of the vectors by this; residents of a cell's part.
+PER_PIVOT, PART = 64.0, 4096
+#: Distances of a batch's vectors to pivots that are held at once.
+BLOCK = 1 << 20
 #: Vectors of a cell that one part of its residents meets at a time, so that a task's memory does not grow with the cell.
 MEMBERS = 16384
 SEED = "cairn-pivot-1"
@@ -62,16 +64,16 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     units = unit_vectors(vectors)
     n = units.count()
-    k = max(1, min(MOST_PIVOTS, math.ceil(math.sqrt(n / PER_PIVOT))))
-    chosen = units.orderBy(F.md5(F.concat(F.lit(SEED), F.col("id").cast("string"))), "id", "v").limit(k).toPandas()  # at most MOST_PIVOTS rows
+    k = max(1, math.ceil(math.sqrt(n / PER_PIVOT)))
+    chosen = units.orderBy(F.md5(F.concat(F.lit(SEED), F.col("id").cast("string"))), "id", "v").limit(k).toPandas()  # the pivots
     pivots = np.stack(chosen.v.map(np.asarray)) if len(chosen) else np.zeros((1, 1))
-    between = _distances(pivots, pivots)
-    shared = spark.sparkContext.broadcast((pivots, between))
+    shared = spark.sparkContext.broadcast(pivots)
+    step = max(1, BLOCK // len(pivots))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                d = _distances(_matrix(batch.column(1)), shared.value[0])
+            for lo in range(0, batch.num_rows, step):
+                d = _distances(_matrix(batch.column(1).slice(lo, step)), shared.value)
                 at = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], ["cell", "d"])
 
@@ -83,20 +85,24 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def reached(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, cell and own cell of every stay of a batch's vectors."""
-        pivots, between = shared.value
-        radius, _ = bounds.value
-        d = _distances(_matrix(batch.column(1)), pivots)
-        rows = np.arange(len(d))
-        own = d.argmin(axis=1)
-        nearest = d[rows, own]
-        apart = np.maximum(between[own], 1e-12)
-        reach = (d <= radius + r) & ((d * d - nearest[:, None] ** 2) / (2 * apart) <= r)
-        reach[rows, own] = True
-        row, cell = np.nonzero(reach)
-        return row, cell, own
+        pivots, (radius, _) = shared.value, bounds.value
+        row, cell, home = [], [], []
+        for lo in range(0, batch.num_rows, step):
+            d = _distances(_matrix(batch.column(1).slice(lo, step)), pivots)
+            rows = np.arange(len(d))
+            own = d.argmin(axis=1)
+            nearest = d[rows, own]
+            apart = np.maximum(_distances(pivots[own], pivots), 1e-12)
+            reach = (d <= radius + r) & ((d * d - nearest[:, None] ** 2) / (2 * apart) <= r)
+            reach[rows, own] = True
+            i, c = np.nonzero(reach)
+            row.append(i + lo)
+            cell.append(c)
+            home.append(own)
+        return np.concatenate(row), np.concatenate(cell), np.concatenate(home)
 
     def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(shared.value[0]), np.int64)
+        n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             if batch.num_rows:
                 n += np.bincount(reached(batch)[1], minlength=len(n))
@@ -146,7 +152,15 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return pairs.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
-SQL = f"""
+#: Cosine of the query that shows the join on tables without near copies.
+LOOSE = 0.45
+
+
+def sql(cosine: float) -> str:
+    return f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= {COSINE}"""
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= {cosine}"""
+
+
+SQL = sql(COSINE)

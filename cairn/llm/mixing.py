@@ -12,7 +12,8 @@ below the fraction.
 Defined results: the size of a document is the length of its text, 0 for null; a null source is the
 source ``(none)``; a source without a character is not taken; weights that are null or not
 above zero count as zero; if the budget exceeds all capacity every source gets ``max_epochs``. Repeated
-rows draw the same hash, so they are taken or left together; null ids draw by text alone. Extra columns pass.
+rows draw the same hash, so they are taken or left together; null ids draw by text alone. Sources whose levels tie are taken in the order of their names, which changes nothing: they saturate together.
+Extra columns pass; an empty table gives none; long texts count in full.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ MAX_EPOCHS = 2.0
 SEED = "cairn-mix-1"
 #: Without given weights a source's weight is its size to this power, which lifts small sources over a hot one.
 TEMPERATURE = 0.5
+#: The query's target: these sources are wanted so many times over. The stage of the pipeline wants none more than another.
+WANTED = {"src3": 6.0, "src7": 6.0}
 
 
 def epochs(sizes: DataFrame, budget_ratio: float = 1.0, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -46,17 +49,20 @@ def epochs(sizes: DataFrame, budget_ratio: float = 1.0, max_epochs: float = MAX_
     return s.crossJoin(F.broadcast(fits)).select("src", "size", "weight", (got / F.col("size")).alias("epochs"))
 
 
-def source_sizes(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def source_sizes(docs: DataFrame, weights: DataFrame | None = None, wanted: dict[str, float] | None = None) -> DataFrame:
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     by = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("src")).agg(F.sum(size).alias("size"))
     if weights is None:
-        return by.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(TEMPERATURE)))
+        times = F.lit(1.0)
+        for source, x in (wanted or {}).items():
+            times = F.when(F.col("src") == source, F.lit(float(x))).otherwise(times)
+        return by.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(TEMPERATURE)) * times)
     return by.join(weights.select(F.coalesce(F.col("source"), F.lit("(none)")).alias("src"), F.col("weight").cast("double").alias("weight")), "src", "left")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, budget_ratio: float = 1.0, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, budget_ratio: float = 1.0, max_epochs: float = MAX_EPOCHS, wanted: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as it was drawn, with ``__epochs`` and ``__copy`` (from 0)."""
-    plan = written(epochs(source_sizes(docs, weights), budget_ratio, max_epochs).select(F.col("src").alias("__src"), F.col("epochs").alias("__epochs")), "epochs")
+    plan = written(epochs(source_sizes(docs, weights, wanted), budget_ratio, max_epochs).select(F.col("src").alias("__src"), F.col("epochs").alias("__epochs")), "epochs")
     key = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     df = docs.withColumn("__src", F.coalesce(F.col("source").cast("string"), F.lit("(none)"))).join(small(plan), "__src", "inner")
@@ -67,7 +73,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, budget_ratio: float
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The query's result: a row for each draw."""
-    return mixed(narrowed(docs, "doc_id", "text", "source")).select("doc_id", "source", F.round("__epochs", 6).alias("epochs"), F.col("__copy").alias("copy"))
+    return mixed(narrowed(docs, "doc_id", "text", "source"), wanted=WANTED).select("doc_id", "source", F.round("__epochs", 6).alias("epochs"), F.col("__copy").alias("copy"))
 
 
 @guarded
@@ -79,7 +85,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
 SQL = f"""
 WITH d AS (SELECT doc_id, text, source, coalesce(source, '(none)') AS src FROM documents),
 sizes AS (SELECT src, sum(coalesce(length(text), 0)) AS size FROM d GROUP BY src),
-s AS (SELECT src, size::DOUBLE AS size, pow(size::DOUBLE, {TEMPERATURE}) AS w, size * {MAX_EPOCHS}::DOUBLE AS cap FROM sizes WHERE size > 0),
+s AS (SELECT src, size::DOUBLE AS size, pow(size::DOUBLE, {TEMPERATURE}) * CASE src {" ".join(f"WHEN '{k}' THEN {v}" for k, v in WANTED.items())} ELSE 1 END AS w, size * {MAX_EPOCHS}::DOUBLE AS cap FROM sizes WHERE size > 0),
 o AS (SELECT *, cap / w AS level, coalesce(sum(cap) OVER b, 0) AS full_, coalesce(sum(w) OVER b, 0) AS used FROM s
   WINDOW b AS (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT sum(w) AS all_w, sum(size) AS budget FROM s),

@@ -17,6 +17,7 @@ LLM_QUERIES = {
     "op10_bpe_reuse": lambda spark, sf: bpe_reuse.encode_documents(table(spark, sf, "documents")),
     "op7_toxicity": lambda spark, sf: toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_host_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
+    "metric_join_loose": lambda spark, sf: metric_join.near_pairs(table(spark, sf, "embeddings"), metric_join.LOOSE),
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_repeated_spans": substring_dedup.SQL, "op5_metric_join": metric_join.SQL, "op6_mix_sources": mixing.SQL, "op7_toxicity": toxicity.SQL, "op8_host_rules": quality_rules.SQL}
+LLM_SQL = {"op2_url_reputation": url_filter.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_repeated_spans": substring_dedup.SQL, "op5_metric_join": metric_join.SQL, "metric_join_loose": metric_join.sql(metric_join.LOOSE), "op6_mix_sources": mixing.SQL, "op7_toxicity": toxicity.SQL, "op8_host_rules": quality_rules.SQL}
