@@ -18,6 +18,7 @@ like any; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW = 32
 #: Chunks have so many bytes on average.
 CHUNK = 256
-#: A task keeps at most so many characters of chunks; beyond, the cache starts anew (only speed depends on it).
-CACHE_CHARS = 48 << 20
+#: A task keeps at most so many characters of chunks, which with their tokens take about three times as many bytes; beyond, the cache starts
+#: anew (only speed depends on it).
+CACHE_CHARS = 24 << 20
 
 _encodings: dict[str, tuple] = {}
 _ROLL = np.uint64(0x2545F4914F6CDD1D)
@@ -106,7 +108,7 @@ def _last(text: str, before: int) -> int:
 
 def _encoded(enc, sizes: list[int], chunk: str) -> tuple:
     """Tokens of a chunk and, where it has enough sure boundaries, what its joints need."""
-    tokens = enc.encode_ordinary(chunk)
+    tokens = array("i", enc.encode_ordinary(chunk))
     f1 = _first(chunk, 1)
     f2 = _first(chunk, f1 + 1) if f1 > 0 else -1
     l1 = _last(chunk, len(chunk) - 1)
@@ -133,11 +135,11 @@ def _encoded(enc, sizes: list[int], chunk: str) -> tuple:
     return tokens, (chunk[:f2], n2, tokens[n1:n2], chunk[l2:], m2, tokens[m2:m1])
 
 
-def joined(enc, chunks: list[str], known) -> list[int]:
+def joined(enc, chunks: list[str], known) -> array:
     """The tokens of the chunks' concatenation; ``known(chunk)`` gives a chunk's own encoding."""
-    out: list[int] = []
-    left, agreed, whole = "", [], True  # the text since the last agreed boundary; whether nothing precedes it
-    tail: list[int] | None = []  # the tokens of ``left`` if it ends the text
+    out = array("i")
+    left, agreed, whole = "", array("i"), True  # the text since the last agreed boundary; whether nothing precedes it
+    tail: array | None = array("i")  # the tokens of ``left`` if it ends the text
     for chunk in chunks:
         tokens, joint = known(chunk)
         if whole and not left and joint:  # the first chunk needs no repair at its start
@@ -148,7 +150,7 @@ def joined(enc, chunks: list[str], known) -> list[int]:
             left, tail = chunk, tokens
             continue
         if joint:
-            again = enc.encode_ordinary(left + joint[0])
+            again = array("i", enc.encode_ordinary(left + joint[0]))
             head = joint[2]
             if again[: len(agreed)] == agreed and again[len(again) - len(head) :] == head:
                 out += again
@@ -156,7 +158,7 @@ def joined(enc, chunks: list[str], known) -> list[int]:
                 left, agreed, tail, whole = joint[3], joint[5], tokens[joint[4] :], False
                 continue
         left, tail = left + chunk, None
-    out += enc.encode_ordinary(left) if tail is None else tail
+    out += array("i", enc.encode_ordinary(left)) if tail is None else tail
     return out
 
 
@@ -181,6 +183,13 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], [*batch.schema.names, "route"])
 
 
+def _lists(tokens: list[array | None]) -> pa.Array:
+    """A column of lists without an object a token."""
+    ends = np.cumsum([0, *(len(k or ()) for k in tokens)])
+    flat = np.frombuffer(b"".join(memoryview(k).cast("B") for k in tokens if k), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([k is None for k in tokens]))
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = encoding(path)
@@ -202,10 +211,10 @@ def _encode(path: str):
             for ids, texts, sources in pieces(batch, 1):
                 chunks = _split([t or "" for t in texts])
                 tokens = [None if t is None else joined(enc, c, known) for t, c in zip(texts, chunks, strict=True)]
-                back = [None if t is None else enc.decode_bytes(k) == t.encode("utf-8", "surrogatepass") for t, k in zip(texts, tokens, strict=True)]
+                back = [None if t is None else enc.decode_bytes(k.tolist()) == t.encode("utf-8", "surrogatepass") for t, k in zip(texts, tokens, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array([None if k is None else len(k) for k in tokens], pa.int32()),
-                    pa.array(tokens, pa.list_(pa.int32())), pa.array(back, pa.bool_()),
+                    _lists(tokens), pa.array(back, pa.bool_()),
                 ], ["doc_id", "source", "n_tokens", "tokens", "round_trip"])
 
     return run

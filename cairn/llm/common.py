@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch between the JVM and Python: ten thousand documents, as by default, would be tens of MB on either side of each task.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Makes such batches smaller in this session unless it says otherwise."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -37,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut and its size is known."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/cairn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,6 +78,7 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 def narrowed(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of exactly these names, found by place, so that others that differ by case or repeat do not clash."""
+    lean(df.sparkSession)
     columns = df.columns
     places = [columns.index(n) for n in names]
     return df.toDF(*(f"__c{i}" for i in range(len(columns)))).select(*(F.col(f"__c{i}").alias(n) for i, n in zip(places, names, strict=True)))
