@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import narrowed
-from cairn.llm.text import mix, pieces, powers, ranges_hash
+from cairn.llm.text import mix, pieces, powers, ranges_hash, released
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,7 +44,7 @@ _UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
 
 
 def encoding(path: str = VOCABULARY):
-    """The tokenizer, and the bytes of each token; loaded once a process."""
+    """The tokenizer, and the bytes of each token; kept for the next call."""
     if path not in _encodings:
         import tiktoken
 
@@ -162,6 +162,7 @@ def joined(enc, chunks: list[str], known) -> array:
     return out
 
 
+@released
 def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds each document's least chunk hash, or a hash of its place for texts of no chunk."""
     for batch in batches:
@@ -191,8 +192,10 @@ def _lists(tokens: list[array | None]) -> pa.Array:
 
 
 def _encode(path: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = encoding(path)
+        _encodings.clear()  # the task's own; an idle worker does not keep it
         cache: dict[str, tuple] = {}
         held = 0
 
@@ -231,6 +234,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, text`` back from tokens; null tokens give a null text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoding(path)
         for batch in batches:

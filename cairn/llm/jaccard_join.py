@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import buckets_of, guarded, narrowed, small, written
 from cairn.llm.graph import components
-from cairn.llm.text import WORD_PATTERN, Words, mix, pack, pieces, ranges_hash, unpack
+from cairn.llm.text import WORD_PATTERN, Words, mix, pack, pieces, ranges_hash, released, unpack
 
 N, THRESHOLD = 4, 0.4
 HOT = 64
@@ -110,6 +110,7 @@ def _bounds(buckets: int) -> np.ndarray:
 
 
 def _emit(n: int, buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, held = TaskContext.get().partitionId() << 24, _Held()
         for batch in batches:
@@ -130,6 +131,7 @@ def _emit(n: int, buckets: int):
 def _count(buckets: int):
     """Of a bucket: for each source, the shingles of two documents or more as ``frequency << 48 | shingle``."""
 
+    @released
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         src = rows.column("src").to_numpy()
         if key[0].as_py() >= buckets:
@@ -173,6 +175,7 @@ def _count(buckets: int):
 def _assemble(threshold: float):
     """Of a source: its documents that may have partners, each with its shared shingles in the order of frequency."""
 
+    @released
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         meta, docs, ranks = None, [np.empty(0, np.uint16)], [np.empty(0, np.uint64)]
         for is_meta, p in zip(rows.column("meta").to_pylist(), rows.column("payload").to_pylist(), strict=True):
@@ -214,6 +217,7 @@ def _need(threshold: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(threshold: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -238,6 +242,7 @@ _LINKS = "a long, b long, found int, need int"
 def _lists(threshold: float):
     """Of a range of shingles: pairs of the short lists with how often they met and have to meet; links of the long ones (need 0)."""
 
+    @released
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         c = {k: rows.column(k).to_numpy() for k in ("shingle", "fp", "size", "pos", "rest", "hot", "last")}
         order = np.lexsort((c["pos"], c["size"], c["shingle"]))
@@ -334,6 +339,7 @@ def _answers(sets: list[np.ndarray], sizes: np.ndarray, block: np.ndarray, thres
 
 
 def _join(threshold: float):
+    @released
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending")])
         comp, i, j, own, fp, size = (rows.column(k).to_numpy() for k in ("component", "i", "j", "own", "fp", "size"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import narrowed, shared_dir, written
 from cairn.llm.elias_fano import EliasFano
-from cairn.llm.text import Words, pack, pieces, unpack
+from cairn.llm.text import Words, pack, pieces, released, unpack
 
 #: Least counts of a word, a bigram, a trigram with a node of its own: a smaller model, and the whole one.
 PRUNE, ALL = (2, 2, 2), (1, 1, 1)
@@ -115,6 +115,7 @@ def _sequence_of(path: str, name: str) -> EliasFano:
     return EliasFano.decode({k: _load(path, f"{name}-{k}") for k in ("head", "low", "high", "ones", "zeros")})
 
 
+@released
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     docs = 0
@@ -139,6 +140,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _write_vocabulary(path: str, least: int):
     """One task: the sorted words with their cumulative counts, from rows in order."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, single, ends = [], [], 0, 0
         for batch in batches:
@@ -191,6 +193,7 @@ def _next(seq: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
 
 
 def _emit(path: str, buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before = _load(path, "words"), _load(path, "before")
         total = max(int(before[-1]), 1)
@@ -243,6 +246,7 @@ _SHARD = "bucket long, pairs long, triples long, seen binary, types binary, node
 def _shard(prune: tuple[int, int, int]):
     """Of a range: the successors of each first word, the kept bigrams, and the kept trigrams below them."""
 
+    @released
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         pair, third, n = (np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("pair", "third", "n"))
         order = np.lexsort((third, pair))
@@ -275,6 +279,7 @@ def _shard(prune: tuple[int, int, int]):
 def _write_contexts(path: str):
     """One task: what is known of each word as a context, where each range begins, and room for the second level."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _load(path, "counts")
         size = len(count)
@@ -321,6 +326,7 @@ def _starts(path: str) -> dict[int, tuple[int, int]]:
 def _write_second(path: str):
     """The ranges' parts of the second level and the weights of the third; the edges of the parts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, types, lift, starts = _load(path, "counts"), _load(path, "types"), _load(path, "lift"), _starts(path)
         for batch in batches:
@@ -349,6 +355,7 @@ _RANKS = "bucket long, last long, thirds binary, rank binary"
 def _ranks(path: str):
     """Context-relative: the ranks of the third words among the successors of the second."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ptr1, seq2 = _sequence_of(path, "ptr1"), _sequence_of(path, "seq2")
         for batch in batches:
@@ -369,6 +376,7 @@ def _ranks(path: str):
 def _write_third(path: str, lift: dict[int, int]):
     """The ranges' parts of the third level; the edges of the parts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = _starts(path)
         for batch in batches:
@@ -471,6 +479,7 @@ def build(docs: DataFrame, prune: tuple[int, int, int] = PRUNE) -> str:
 def score(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, log_probability, perplexity, unknown`` of every row under the trie in ``path``."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(path)
         for batch in batches:

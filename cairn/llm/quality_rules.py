@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from cairn.llm.common import guarded, narrowed, small, written
-from cairn.llm.text import pieces, ranges_hash
+from cairn.llm.text import pieces, ranges_hash, released
 
 SYMBOLS = "#$%&*|!{}<>~^\\"
 #: rule -> (soft limit, hard limit)
@@ -93,6 +93,7 @@ def _bit(rule: str, hard: bool = False) -> Column:
 def marked(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, source)`` without its texts: ``doc_id, __host, __marks``."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [marks_of(texts) for (texts,) in pieces(batch.select(["text"]), 0)]

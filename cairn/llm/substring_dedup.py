@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import buckets_of, guarded, narrowed, small, written
-from cairn.llm.text import WORD_PATTERN, Words, pieces, ranges_hash
+from cairn.llm.text import WORD_PATTERN, Words, pieces, ranges_hash, released
 
 #: Words of an edge: the shortest passage found.
 K = 50
@@ -76,6 +76,7 @@ def _anchors(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(k: int, m: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in pieces(batch, 1):
@@ -103,6 +104,7 @@ _RUNS = "anchor long, digest long, prev long, next long, text_key long, pos long
 
 
 def _emit_runs(k: int, m: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts, known, rows in pieces(batch, 1):
@@ -138,6 +140,7 @@ def _emit_runs(k: int, m: int):
 _PIECE = "head long, anchor long, tail long, n long, up long, down long"
 
 
+@released
 def _compact(key: tuple, rows: pa.Table) -> pa.Table:
     """Of a group of anchors: the repeated edges, those between nonbranching nodes as one piece, with the edges it may be glued to (or 0)."""
     col = lambda c: rows.column(c).to_numpy()
@@ -178,7 +181,7 @@ def pieces_of_paths(runs: DataFrame, buckets: int) -> DataFrame:
     place = F.struct("text_key", "pos")
     equal = runs.groupBy("anchor", "digest", "prev", "next").agg(F.sum("copies").alias("copies"), F.min(place).alias("place"), F.first("run").alias("run"))
     equal = equal.select("anchor", "prev", "next", "copies", "place.text_key", "place.pos", "run")
-    return equal.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda key, rows: _compact(key, rows), _PIECE)
+    return equal.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(_compact, _PIECE)
 
 
 def compacted(found: DataFrame) -> DataFrame:
@@ -205,6 +208,7 @@ _PLACE = "path long, edges int, high long, low long, text_key long, pos int, beg
 def _emit_places(k: int):
     """The occurrences of the paths whose first edge may be in a text, with a digest of the words at their coordinates."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts, paths, rows, firsts in pieces(batch, 1):

@@ -7,7 +7,9 @@ of a batch at once: prefix sums of a polynomial modulo 2**64 give each word's ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,37 @@ def pieces(batch: pa.RecordBatch, texts: int, limit: int = 1 << 19) -> Iterator[
         at, done = end, int(size[end - 1])
 
 
+def release() -> None:
+    """Gives a worker's free memory back: workers outlive their tasks, and idle ones would keep the most that they ever held."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released(run: Callable) -> Callable:
+    """A function of batches, or of a group, that releases memory at its end."""
+
+    @functools.wraps(run)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    @functools.wraps(run)
+    def of(key: tuple, rows: pa.Table) -> pa.Table:
+        try:
+            return run(key, rows)
+        finally:
+            release()
+
+    return of if run.__code__.co_argcount == 2 else over
+
+
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 

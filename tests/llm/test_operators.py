@@ -622,7 +622,7 @@ def test_joined_chunks_encode_as_the_whole(text, chunk):
     finally:
         bpe_reuse.cuts.__defaults__ = old
     assert "".join(chunks) == text
-    assert bpe_reuse.joined(enc, chunks, lambda c: bpe_reuse._encoded(enc, sizes, c)) == enc.encode_ordinary(text)
+    assert list(bpe_reuse.joined(enc, chunks, lambda c: bpe_reuse._encoded(enc, sizes, c))) == enc.encode_ordinary(text)
 
 
 def test_documents_round_trip(spark, docs):
