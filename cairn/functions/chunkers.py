@@ -112,19 +112,24 @@ def line_chunks(text: Column, size: int = 30, overlap: int = 8) -> Column:
     A run that does not reach the end is cut before the last line in its last 10 (or just after it) that starts with ``#``; the next
     run's start does not move with the cut. ``\\r\\n`` is one line end. Nothing for texts of at most ``size`` lines.
     """
+
+    def runs_of(lines: Column) -> Column:
+        n, step = F.size(lines), max(size - overlap, 1)
+
+        def run(start: Column) -> Column:
+            end = F.least(start + F.lit(size), n)
+            low = F.greatest(start + F.lit(size - 10), start)
+            marks = F.filter(F.sequence(low, F.greatest(end, low)), lambda i: (i < n) & F.get(lines, i).startswith("#"))
+            cut = F.when((end < n) & (F.size(marks) > 0), F.array_max(marks)).otherwise(end)
+            body = F.array_join(F.slice(lines, start + 1, F.greatest(cut - start, F.lit(0))), "\n")
+            return F.struct(F.regexp_replace(body, rf"^{BLANK}+|{BLANK}+$", "").alias("text"), (start + 1).cast("int").alias("line_start"), cut.cast("int").alias("line_end"))
+
+        runs = F.filter(F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), run), lambda c: F.length(c["text"]) > 0)
+        return F.when(n > size, runs).otherwise(F.array().cast(_PIECE))
+
+    # the lines are bound as the variable of a lambda: named as an expression they would be split anew for every run and every line looked at
     lines = F.split(text, r"\r\n|[\n\u000B\u000C\r\u0085\u2028\u2029]")
-    n, step = F.size(lines), max(size - overlap, 1)
-
-    def run(start: Column) -> Column:
-        end = F.least(start + F.lit(size), n)
-        low = F.greatest(start + F.lit(size - 10), start)
-        marks = F.filter(F.sequence(low, F.greatest(end, low)), lambda i: (i < n) & F.get(lines, i).startswith("#"))
-        cut = F.when((end < n) & (F.size(marks) > 0), F.array_max(marks)).otherwise(end)
-        body = F.array_join(F.slice(lines, start + 1, F.greatest(cut - start, F.lit(0))), "\n")
-        return F.struct(F.regexp_replace(body, rf"^{BLANK}+|{BLANK}+$", "").alias("text"), (start + 1).cast("int").alias("line_start"), cut.cast("int").alias("line_end"))
-
-    runs = F.filter(F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), run), lambda c: F.length(c["text"]) > 0)
-    return F.when(n > size, runs).otherwise(F.array().cast(_PIECE))
+    return F.when(text.isNotNull(), F.flatten(F.transform(F.array(lines), runs_of))).otherwise(F.array().cast(_PIECE))
 
 
 def extracted(files: DataFrame, size: int = 1200, overlap: int = 0) -> DataFrame:

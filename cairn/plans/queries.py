@@ -232,8 +232,9 @@ def hash_embed_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_HASH}, v AS (SELECT doc_id, b.b, b.n / n.n AS x FROM b JOIN n USING (doc_id)), d AS (SELECT q.doc_id AS query_id, c.doc_id, round(1 - sum(q.x * c.x), 9) AS d FROM v q JOIN v c ON q.b = c.b WHERE q.doc_id < 5 GROUP BY 1, 2)
 SELECT query_id, doc_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS r FROM d) WHERE r <= 10""")
 def hash_search_documents(spark: SparkSession, sf: str) -> DataFrame:
-    v = hashed(_table(spark, sf, "documents"), "doc_id", "text")
-    q = {r.doc_id: r.embedding for r in v.where("doc_id < 5").collect() if r.embedding}
+    docs = _table(spark, sf, "documents")
+    q = {r.doc_id: r.embedding for r in hashed(docs.where("doc_id < 5"), "doc_id", "text").collect() if r.embedding}  # the scan takes only these
+    v = hashed(docs, "doc_id", "text")
     return se.top_k(v, q, 10, "doc_id", decimals=9).select("query_id", "doc_id", F.round("distance", 6).alias("distance"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,15 +28,17 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str | bytes) -> None:
-        """By way of another name: a reader sees the old or the new file."""
+        """By way of another name, which then takes this one's place in one step where the file system can: a reader sees the old or the new file."""
         p, fs = self._path(path)
-        part, _ = self._path(path + ".part")
+        part, _ = self._path(f"{path}.{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         out.write(bytearray(text if isinstance(text, bytes) else text.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(part, p)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+        overwrite = self.jvm.org.apache.hadoop.fs.Options.Rename
+        kinds = self.jvm.java.lang.reflect.Array.newInstance(overwrite.OVERWRITE.getClass(), 1)
+        kinds[0] = overwrite.OVERWRITE
+        context.rename(context.makeQualified(part), context.makeQualified(p), kinds)
 
     def create_once(self, path: str, text: str) -> bool:
         """Whether the file was not there and is now ours."""
