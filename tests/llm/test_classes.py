@@ -1,0 +1,71 @@
+"""Joins that give a row a document instead of its pairs."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import pytest
+
+pytest.importorskip("pyspark")
+from cairn.llm import jaccard_join
+from cairn.llm.queries import LLM_QUERIES, LLM_SQL
+from tests import test_queries as engine
+from tests.llm.test_operators import awkward, corpus, documents, empty, shingles, vocabulary
+
+
+def classes(keys, links):
+    """Least key that links lead to, and number of links, of each key."""
+    least, n = {k: k for k in keys}, dict.fromkeys(keys, 0)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+        least = {k: min(least[a], least[b]) if v in (least[a], least[b]) else v for k, v in least.items()}
+    return least, n
+
+
+def brute_classes(rows, threshold, n):
+    docs = sorted({(i, t) for i, t in rows if i is not None}, key=lambda x: (x[0], x[1] or ""))
+    sets = [shingles(t, n) if t else set() for _, t in docs]
+    links = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold - 1e-12]
+    least, count = classes(range(len(docs)), links)
+    return sorted((docs[k][0], docs[least[k]][0], count[k]) for k in range(len(docs))), links
+
+
+def found(df):
+    return sorted((r.doc_id, r.class_id, r.n_links) for r in df.collect())
+
+
+@pytest.mark.parametrize(("threshold", "n", "hot", "block"), [(0.4, 4, 64, 4096), (0.3, 2, 3, 5), (0.8, 3, 1, 2)])
+def test_classes_and_links_agree_with_brute_force(spark, monkeypatch, threshold, n, hot, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rows = list(enumerate(corpus()))
+    # repeated rows, two texts of an id, and a text without an id that would link two others
+    a, b, c = (" ".join(vocabulary(90, 9)[i : i + 40]) for i in (0, 14, 28))
+    rows += [rows[4], rows[4], (3, rows[8][1]), (900, a), (None, b), (901, c), (902, a + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, links = brute_classes(rows, threshold, n)
+    assert links and found(jaccard_join.jaccard_classes(df, n, threshold)) == want
+
+
+def test_the_join_gives_a_row_a_document(spark, tmp_path):
+    r, v = random.Random(2), vocabulary(300)
+    base = r.choices(v, k=80)
+    texts = [" ".join(base)] * 40
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(80)] = r.choice(v)
+        texts.append(" ".join(w))
+    texts.append("apart from all others")
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = LLM_QUERIES["op3_jaccard_join"](spark, str(tmp_path))
+    assert got.count() == len(texts)
+    assert found(got) == brute_classes(list(enumerate(texts)), jaccard_join.THRESHOLD, jaccard_join.N)[0]
+    assert engine.canonical(got.columns, [tuple(x) for x in got.collect()]) == engine.oracle(LLM_SQL["op3_jaccard_join"], str(tmp_path))
+
+
+def test_classes_on_awkward_input(spark):
+    assert found(jaccard_join.jaccard_classes(awkward(spark))) == [(i, i, 0) for i in range(1, 6)]
+    assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
