@@ -5,10 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("pyspark")
-from cairn.llm import jaccard_join
+from pyspark.sql import functions as F
+
+from cairn.llm import jaccard_join, metric_join
 from cairn.llm.queries import LLM_QUERIES, LLM_SQL
 from tests import test_queries as engine
 from tests.llm.test_operators import awkward, corpus, documents, empty, shingles, vocabulary
@@ -69,3 +72,45 @@ def test_the_join_gives_a_row_a_document(spark, tmp_path):
 def test_classes_on_awkward_input(spark):
     assert found(jaccard_join.jaccard_classes(awkward(spark))) == [(i, i, 0) for i in range(1, 6)]
     assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
+
+
+def brute_vectors(rows, cosine):
+    """Distinct id and vector, the usable ones against each other."""
+    docs = sorted(set(rows), key=repr)
+    docs.sort(key=lambda x: x[0])
+    links = []
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        x, y = (np.array(docs[k][1] or [0.0], float) for k in (a, b))
+        if len(x) == len(y) and x.any() and y.any() and round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9) >= cosine:
+            links.append((a, b))
+    least, count = classes(range(len(docs)), links)
+    return sorted((docs[k][0], docs[least[k]][0], count[k]) for k in range(len(docs))), links
+
+
+def found_vectors(df):
+    return sorted((r.vec_id, r.class_id, r.n_links) for r in df.collect())
+
+
+def test_vector_classes_agree_with_brute_force(spark, monkeypatch, tmp_path):
+    for name, value in (("PER_PIVOT", 2.0), ("PART", 30), ("MEMBERS", 50)):
+        monkeypatch.setattr(metric_join, name, value)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 12))
+    x = np.concatenate([base, base[:60] + 0.08 * rng.normal(size=(60, 12)), base[:60] + 0.15 * rng.normal(size=(60, 12)), base[:5], 3 * base[5:8], np.tile(base[9], (40, 1))])
+    rows = [(i, tuple(float(y) for y in v)) for i, v in enumerate(x)]
+    want, links = brute_vectors(rows, metric_join.COSINE)
+    spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = LLM_QUERIES["op5_metric_join"](spark, str(tmp_path))
+    assert len(links) > 800 and got.count() == len(rows) and found_vectors(got) == want
+    assert engine.canonical(got.columns, [tuple(r) for r in got.collect()]) == engine.oracle(LLM_SQL["op5_metric_join"], str(tmp_path))
+
+
+def test_vector_classes_on_awkward_input(spark):
+    rows = [(1, (1.0, 0.0)), (2, (1.0, 0.0)), (2, (1.0, 0.0)), (2, (2.0, 0.0)), (2, (0.0, 1.0)), (3, None), (4, ()), (5, (1.0,)), (6, (0.0, 0.0)), (7, (9.0, 0.1))]
+    want, _ = brute_vectors(rows, metric_join.COSINE)
+    assert (2, 2, 0) in want and (2, 1, 3) in want
+    df = spark.createDataFrame([(i, None if v is None else list(v)) for i, v in [*rows, (None, (1.0, 0.0))]], "vec_id long, embedding array<float>").withColumn("ID", F.lit(0)).withColumn("v", F.lit(0))
+    assert found_vectors(metric_join.near_classes(df)) == want
+    odd = spark.createDataFrame([(8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0])], "vec_id long, embedding array<float>")
+    assert found_vectors(metric_join.near_classes(odd)) == [(8, 8, 0), (9, 9, 0), (10, 10, 0)]
+    assert metric_join.near_classes(df.limit(0)).count() == 0
