@@ -12,6 +12,7 @@ pytest.importorskip("pyspark")
 from pyspark.sql import functions as F
 
 from cairn.llm import jaccard_join, metric_join
+from cairn.llm.graph import components
 from cairn.llm.queries import LLM_QUERIES, LLM_SQL
 from tests import test_queries as engine
 from tests.llm.test_operators import awkward, corpus, documents, empty, shingles, vocabulary
@@ -114,3 +115,51 @@ def test_vector_classes_on_awkward_input(spark):
     odd = spark.createDataFrame([(8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0])], "vec_id long, embedding array<float>")
     assert found_vectors(metric_join.near_classes(odd)) == [(8, 8, 0), (9, 9, 0), (10, 10, 0)]
     assert metric_join.near_classes(df.limit(0)).count() == 0
+
+
+def test_a_licence_links_only_texts_that_may_be_similar(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    r, v = random.Random(3), vocabulary(900, 3)
+    licence, texts = v[:29], []
+    for i in range(20):
+        body = v[100 + 26 * i : 125 + 26 * i]
+        texts += [" ".join(body + licence), " ".join([*body[:-1], r.choice(v[700:])] + licence)]
+    df = documents(spark, texts)
+    # each text has a copy but for a word; with all others it has the 26 shingles of the licence in common, of 76
+    groups = components(jaccard_join.linked(jaccard_join.sets_with_partners(df))).groupBy("component").count().collect()
+    assert sorted(g["count"] for g in groups) == [2] * 20
+    assert found(jaccard_join.jaccard_classes(df)) == brute_classes(list(enumerate(texts)), jaccard_join.THRESHOLD, jaccard_join.N)[0]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.4, 0.6, 0.8])
+def test_chains_hold_all_that_may_be_similar(threshold):
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        n = rng.integers(0, 40)
+        shingle, size = rng.integers(0, 4, n), rng.integers(1, 40, n)
+        pos = (rng.random(n) * size).astype(np.int64)
+        order = np.lexsort((pos, size, shingle))
+        shingle, size, pos = shingle[order], size[order], pos[order]
+        keep, start = jaccard_join._chained(shingle, size, pos, threshold)
+        chain = np.full(n, -1)
+        chain[keep] = np.searchsorted(start, np.arange(len(keep)), "right") - 1
+        assert (chain[keep] >= 0).all()
+        for i, j in itertools.combinations(range(n), 2):
+            if shingle[i] == shingle[j] and min(size[i] - pos[i], size[j] - pos[j]) >= jaccard_join._need(threshold, size[i], size[j]):
+                assert chain[i] == chain[j] >= 0
+            assert shingle[i] == shingle[j] or chain[i] != chain[j] or chain[i] < 0
+
+
+@pytest.mark.parametrize(("many", "bytes_"), [(2, 48 << 20), (7, 4000), (2, 0)])
+def test_answers_by_matrix_agree_with_the_sets(monkeypatch, many, bytes_):
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    monkeypatch.setattr(jaccard_join, "MATRIX_BYTES", bytes_)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 47, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > rng.random() * 0.6], rng.integers(0, 1 << 47, rng.integers(1, 30), dtype=np.uint64)])) for _ in range(50)]
+    size = np.array([len(s) for s in sets])
+    for block in (np.zeros(50, np.int64), np.arange(50) % 2):
+        got = {(k, t, o) for k, to, overlap in jaccard_join._answers(sets, size, block, 0.4) for t, o in zip(to.tolist(), overlap.tolist(), strict=True)}
+        shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(50), 2)}
+        want = {(a, b, o) for (a, b), o in shared.items() if o >= 0.4 * (size[a] + size[b] - o) - 1e-9 and (not block.any() or block[a] != block[b])}
+        assert want and got == want
