@@ -64,12 +64,25 @@ def batch_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def batch_distances(column: pa.Array, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the non-empty vectors of a column, and their cosine distances (a column a query)."""
+    """Places of the non-empty vectors of a column, and their cosine distances (a column a query).
+
+    Sums run over the elements in their order, as in SQL engines: a matrix product rounds a row by its place in the batch, so that copies
+    of a vector would be at distances that differ in the last bits, or below 0, and their order would not be that of their ids.
+    """
     present, fit, m = batch_matrix(column, queries.shape[1])
     d = np.ones((len(column), len(queries)))
     if len(fit):
         with np.errstate(all="ignore"):
-            scale = np.sqrt((m * m).sum(1))[:, None] * np.sqrt((queries * queries).sum(1))[None]
-            got = 1 - (m @ queries.T) / scale
+            dots, own, norms = np.zeros((len(fit), len(queries))), np.zeros(len(fit)), np.zeros(len(queries))
+            for x, y in zip(np.ascontiguousarray(m.T), queries.T, strict=True):
+                dots += np.multiply.outer(x, y)
+                own += x * x
+                norms += y * y
+            product = own[:, None] * norms
+            scale = np.sqrt(product)
+            odd = (product < np.finfo(float).tiny) | ~np.isfinite(product)  # too small or large for a product, but perhaps not for one of roots
+            if odd.any():
+                scale = np.where(odd, np.sqrt(own)[:, None] * np.sqrt(norms), scale)
+            got = 1 - np.clip(dots / scale, -1, 1)
             d[fit] = np.where((scale > 0) & np.isfinite(scale) & np.isfinite(got), got, 1.0)
     return present, d[present]

@@ -5,10 +5,12 @@ import subprocess
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import embedders
+from cairn.functions.vectors import batch_distances
 from cairn.operators import evaluate as ev
 from cairn.operators import maintain as mt
 from cairn.operators import search as se
@@ -70,6 +72,16 @@ def test_rows_without_vector_are_left_out(spark):
         se.distances(df, {0: [1.0], 1: [1.0, 2.0]})
 
 
+def test_distances_are_sums_in_order():
+    rng = np.random.default_rng(2)
+    for v in rng.normal(size=(40, 64)).astype(np.float32):
+        for n in (1, 2, 7, 10):
+            at, d = batch_distances(pa.array([v.tolist()] * n, pa.list_(pa.float32())), v.astype(float)[None])
+            assert list(at) == list(range(n)) and not np.any(d) and not np.any(np.signbit(d))
+    tiny = np.array([[3e-150, 4e-150]])
+    assert batch_distances(pa.array([[6e-150, 8e-150], [0.0, 0.0]]), tiny)[1].tolist() == [[pytest.approx(0)], [1.0]]
+
+
 def test_pool_rule_and_filters(spark):
     rows, df = chunk_table(spark)
     meta = spark.createDataFrame([(f"dir/f{i}.md", 10 * i if i else None) for i in range(7)], "file_path string, line_page_count long")

@@ -6,6 +6,7 @@ import math
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from cairn.plans.queries import QUERIES, SQL
@@ -62,3 +63,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def embedding_table(path, vectors, labels):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array([v.tolist() for v in vectors], pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
+    pq.write_table(t, str(path / "embeddings.parquet"), row_group_size=101)
+
+
+@pytest.mark.parametrize("name", ["search_coalesced", "search_filtered_pool", "search_glob", "search_min_lines", "cosine_topk", "search_multi_query_topk", "match_list_tokens"])
+def test_copies_of_vectors_agree_with_sql(spark, name, tmp_path):
+    """A vector's copies are at one distance, never below 0, and go by id."""
+    own = np.random.default_rng(3).normal(size=(41, 64)).astype(np.float32)
+    embedding_table(tmp_path, np.concatenate([own] * 9), [i % 41 % 10 for i in range(41 * 9)])
+    df = QUERIES[name](spark, str(tmp_path))
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == oracle(SQL[name], str(tmp_path))
