@@ -63,7 +63,7 @@ def top_k(chunks: DataFrame, queries: dict[int, list[float]], k: int, id_column:
 def coalesced(hits: DataFrame, limit: int | None, group: str = "file_path", id_column: str = "id", match: list[str] | None = None) -> DataFrame:
     """Hits by file: ``group, best_score, matches`` (nearest first) and the ``limit`` best files, ties by name.
 
-    The best score is not below 0; no or a negative number of files wanted gives none; ``None`` gives all.
+    The best score is shown as 0 where it is below, but files go by what it was; no or a negative number of files wanted gives none; ``None`` gives all.
     """
     fields = [F.col("distance"), F.col(id_column), *(F.col(c) for c in match or [] if c != id_column)]
     groups = hits.groupBy(group).agg(F.greatest(F.lit(0.0), F.max(1 - F.col("distance"))).alias("best_score"), F.array_sort(F.collect_list(F.struct(*fields))).alias("matches"))
@@ -71,7 +71,7 @@ def coalesced(hits: DataFrame, limit: int | None, group: str = "file_path", id_c
 
 
 def best(groups: DataFrame, limit: int, group: str = "file_path") -> DataFrame:
-    return groups.orderBy(F.desc("best_score"), group).limit(max(limit, 0))
+    return groups.orderBy(F.desc(1 - F.col("matches")[0]["distance"]), group).limit(max(limit, 0))
 
 
 def ordinals(chunks: DataFrame, file: str = "file_path", id_column: str = "id") -> DataFrame:

@@ -80,3 +80,14 @@ def test_copies_of_vectors_agree_with_sql(spark, name, tmp_path):
     embedding_table(tmp_path, np.concatenate([own] * 9), [i % 41 % 10 for i in range(41 * 9)])
     df = QUERIES[name](spark, str(tmp_path))
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == oracle(SQL[name], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["search_coalesced", "search_filtered_pool"])
+def test_files_on_the_far_side_go_by_distance(spark, name, tmp_path):
+    """Scores below 0 are shown as 0, but files go by what they were, as in SQL."""
+    rng = np.random.default_rng(7)
+    q = rng.normal(size=64)
+    away = [-q + s * rng.normal(size=64) for s in np.linspace(1.0, 0.1, 24)]
+    embedding_table(tmp_path, np.asarray([q, *away], np.float32), [0, *(30 - i for i in range(24))])
+    df = QUERIES[name](spark, str(tmp_path))
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == oracle(SQL[name], str(tmp_path))
