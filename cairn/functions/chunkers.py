@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.batches import pieces, trimmed
 from cairn.functions.text import BLANK, count_lines, trim
 from cairn.schema import BadChunkParameters
 
@@ -93,15 +94,24 @@ def recursive_chunks(docs: DataFrame, key: str, text: str, size: int = 1200, ove
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = batch.column(0), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if t is None or not (whole := t.strip()):
-                    continue
-                rows.append((i, 1, "whole", whole, None, None))
-                rows += ((i, n, "chunk", *piece) for n, piece in enumerate(splitter.split(t), 2))
-            at, ordinal, types, texts, first, last = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(ordinal, pa.int32()), pa.array(types, pa.string()), pa.array(texts, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [key, "ordinal", "chunk_type", "text", "line_start", "line_end"])
+        try:
+            for batch in batches:
+                done = 0
+                for keys, texts in pieces(batch, 1):
+                    yield chunked(batch.column(0).slice(done, len(keys)), texts)
+                    done += len(keys)
+        finally:
+            trimmed()
+
+    def chunked(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for i, t in enumerate(texts):
+            if t is None or not (whole := t.strip()):
+                continue
+            rows.append((i, 1, "whole", whole, None, None))
+            rows += ((i, n, "chunk", *piece) for n, piece in enumerate(splitter.split(t), 2))
+        at, ordinal, types, chunks, first, last = zip(*rows, strict=True) if rows else ((),) * 6
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(ordinal, pa.int32()), pa.array(types, pa.string()), pa.array(chunks, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [key, "ordinal", "chunk_type", "text", "line_start", "line_end"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ordinal int, chunk_type string, text string, line_start int, line_end int")
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import fnmatch
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +102,36 @@ def test_whole_chunk_comes_first(spark):
     assert [r.chunk_type for r in rows if r.p == "d"][:2] == ["whole", "chunk"]
 
 
+def test_chunks_are_made_a_run_of_texts_at_a_time():
+    """What a worker holds follows neither the number of texts nor the size of Arrow's batches."""
+
+    class Docs:
+        dtypes = [("p", "string"), ("t", "string")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [None if i % 50 == 0 else "  " if i % 50 == 1 else f"{i} " + "some words of a line.\n" * (i % 300) for i in range(3000)]
+    batch = pa.record_batch([pa.array([f"k{i}" for i in range(len(texts))]), pa.array(texts)], ["p", "t"])
+    run = recursive_chunks(Docs(), "p", "t", 1200, 240)
+    got, most = [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch.slice(0, 0), batch.slice(7)])):
+            most = max(most, out.nbytes)
+            got += [(i, n) for i, n in zip(out["p"].to_pylist(), out["ordinal"].to_pylist(), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    splitter = RecursiveSplitter(1200, 240)
+    assert got == [(f"k{i}", n) for i, t in enumerate(texts) if i >= 7 and t and t.strip() for n in range(1, 2 + len(splitter.split(t)))]
+    assert most < 4 << 20
+    assert peak < 12 << 20
+
+
 # text
 
 
