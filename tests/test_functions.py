@@ -132,6 +132,22 @@ def test_chunks_are_made_a_run_of_texts_at_a_time():
     assert peak < 12 << 20
 
 
+def test_long_texts_come_one_at_a_time():
+    class Docs:
+        dtypes = [("p", "long"), ("t", "string")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["some words of a line.\n" * 30_000, "short", "x y " * 150_000]
+    out = list(recursive_chunks(Docs(), "p", "t", 1200, 0)(iter([pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], ["p", "t"])])))
+    assert [sorted(set(b["p"].to_pylist())) for b in out] == [[1], [2], [3]]
+    assert [b["text"][0].as_py() for b in out] == [t.strip() for t in texts]
+
+
 # text
 
 
